@@ -94,3 +94,9 @@ def union_of(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this subpackage wrote, by Spark's file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, line_dedup, mixing, quality, url_rules
+from . import decontamination, licenses, line_dedup, mixing, quality, rans, url_rules
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("place")
 
@@ -45,7 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_mix_sources, op5_license_scan, op7_quality_bands, op8_line_dedup, op9_url_rules, op10_decontaminate)
+    for f in (op1_token_files, op2_mix_sources, op5_license_scan, op7_quality_bands, op8_line_dedup, op9_url_rules, op10_decontaminate)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
