@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, line_dedup, mixing, quality, rans, url_rules
+from . import decontamination, licenses, line_dedup, mixing, near_dup, quality, rans, url_rules
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op2_mix_sources, op5_license_scan, op7_quality_bands, op8_line_dedup, op9_url_rules, op10_decontaminate)
+    for f in (op1_token_files, op2_mix_sources, op5_license_scan, op6_near_duplicates, op7_quality_bands, op8_line_dedup, op9_url_rules, op10_decontaminate)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
