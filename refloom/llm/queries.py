@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, line_dedup, mixing, near_dup, quality, rans, toxicity, url_rules
+from . import attention_lm, decontamination, licenses, line_dedup, mixing, near_dup, quality, rans, toxicity, url_rules
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("place")
 
 
+def op3_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_language(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op2_mix_sources, op4_toxicity, op5_license_scan, op6_near_duplicates, op7_quality_bands, op8_line_dedup, op9_url_rules, op10_decontaminate)
+    for f in (op1_token_files, op2_mix_sources, op3_language_scores, op4_toxicity, op5_license_scan, op6_near_duplicates, op7_quality_bands, op8_line_dedup, op9_url_rules, op10_decontaminate)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -45,9 +45,10 @@ def _piece_hashes(data: bytes) -> np.ndarray:
     return mixed((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the A-Z lower-cased words of 0-9, a-z and characters above 0x7F, in order."""
-    data = text.translate(common.ALNUM_WORDS)
+def word_hashes(text: bytes, words: bytes = common.ALNUM_WORDS) -> np.ndarray:
+    """Hashes of the words in order. words: a table that maps bytes, those between words to a space; by default words are
+    A-Z lower-cased runs of 0-9, a-z and characters above 0x7F."""
+    data = text.translate(words)
     if len(data) <= PIECE:
         return _piece_hashes(data)
     parts, at = [], 0
