@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,25 @@ def byte_column(batch: pa.RecordBatch, name: str, at_most: int = 2000) -> Iterat
         yield start, [b"" if v is None else v for v in part.to_pylist()]
 
 
+def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(codes of all words, words of each text, the distinct words that codes name), split at ASCII whitespace by Arrow, so
+    that only distinct words become Python objects."""
+    column = pc.cast(pa.array(texts, pa.large_binary()), pa.large_string(), safe=False)
+    lists = pc.ascii_split_whitespace(column)
+    coded = lists.flatten().dictionary_encode()
+    offsets = np.asarray(lists.offsets, dtype=np.int64)
+    codes = np.asarray(coded.indices, dtype=np.int64)
+    words = pc.cast(coded.dictionary, pa.large_binary()).to_pylist()
+    if b"" in words:  # from blanks at an end of a text
+        gone = words.index(b"")
+        stay = codes != gone
+        offsets = np.concatenate([[0], np.cumsum(stay)])[offsets - offsets[0]]
+        codes = codes[stay]
+        codes -= codes > gone
+        del words[gone]
+    return codes, np.diff(offsets), words
+
+
 def count_rows(counts: dict, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """One batch of (key, count) rows."""
     if counts:

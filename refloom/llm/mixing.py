@@ -83,7 +83,7 @@ def plan(blocks: dict[str, int], weights: dict[str, float], frame: int) -> list[
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", block_chars: int = 65536, frame: int = 1000, max_sources: int = 1000, slice_rows: int = 20_000) -> DataFrame:
+        source_col: str = "source", block_chars: int = 65536, frame: int = 1000, max_sources: int = 1000, slice_rows: int = 2000) -> DataFrame:
     """A place in the mixture for every document: doc_id, source, block, phase, slot, rank (in the block).
 
     Each source's documents, in a hash order, are cut into blocks of block_chars characters (a document belongs to the

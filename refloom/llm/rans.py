@@ -17,8 +17,10 @@ Id number i of a block is coded in lane i mod lanes, row i div lanes. All number
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 import numpy as np
@@ -163,42 +165,103 @@ def decode_block(data: bytes, table: Frequencies) -> tuple[list[tuple[int | None
     return [(None if null else d, k) for d, null, k in zip(doc_ids, nulls, sizes, strict=True)], ids
 
 
+def _lower(text: bytes) -> bytes:
+    """A-Z in lower case where the tokenizer, which lower-cases all, gives the same ids: not where a special token may stand
+    or a combining mark (U+0300 to U+036F) may be composed with a letter before letters are lower-cased."""
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes with: printable ones stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class WordTokens:
     """Ids of texts from ids of their words. No match of the tokenizer's splitter crosses ASCII whitespace and its
-    normaliser maps characters one by one around it, so a text's ids are those of its words in a row. Words are kept until
-    `keep` are known, then forgotten together."""
+    normaliser maps characters one by one around it, so a text's ids are those of its words in a row. At most about `keep`
+    words are known at a time: beyond, those met once are forgotten, and the rarer half of the others.
 
-    def __init__(self, path: str, keep: int = 400_000):
+    A word of letters that the normaliser leaves alone, with or without one mark of TAIL, goes to the merges directly, many
+    words in one call, if the tokenizer is of the kind whose ids show where words end; others go through all of it."""
+
+    TAIL = b".,;:!?"
+
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.keep = keep
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.direct = bool(suffix)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items() if suffix else ():
+            self.ends[k] = token.endswith(suffix)
+        self.characters = _byte_characters()
+
+    def _pieces(self, word: bytes) -> str | None:
+        """The word's pieces as the merges take them, between blanks; None if it isn't of the simple kind."""
+        core, tail = (word[:-1], " " + word[-1:].decode()) if word[-1:] in self.TAIL and len(word) > 1 else (word, "")
+        if core.isascii():
+            return core.decode() + tail if core.isalpha() and core.islower() else None
+        text = core.decode("utf-8", "replace")
+        if text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text):
+            return core.decode("latin-1").translate(self.characters) + tail
+        return None
+
+    def _word_ids(self, words: list[bytes], together: int = 256) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(the words in another order, ids of all, how many of each)."""
+        pieces = [self._pieces(w) for w in words] if self.direct else [None] * len(words)
+        simple = [k for k, x in enumerate(pieces) if x is not None]
+        texts = [pieces[k] for k in simple]
+        ids = [e.ids for e in self.merges.encode_batch_fast([" ".join(texts[k : k + together]) for k in range(0, len(texts), together)], add_special_tokens=False)]
+        flat = np.array([i for x in ids for i in x], np.uint32)
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        last = np.cumsum([1 + (" " in t) for t in texts], dtype=np.int64) - 1  # each piece ends once
+        if len(ends) != (last[-1] + 1 if len(last) else 0):
+            raise AssertionError("ids do not show where words end")
+        sizes = np.diff(ends[last], prepend=0)
+        others = [k for k, x in enumerate(pieces) if x is None]
+        more = [e.ids for e in self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in others], add_special_tokens=False)]
+        flat = np.concatenate([flat, np.array([i for x in more for i in x], np.uint32)])
+        return [words[k] for k in simple + others], flat, np.concatenate([sizes, np.array([len(x) for x in more], np.int64)])
+
+    def _learn(self, new: list[bytes]) -> None:
+        if self.known and len(self.known) + len(new) > self.keep:
+            self._forget()
+        new, flat, sizes = self._word_ids(new)
+        self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        self.starts, self.sizes = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes]), np.concatenate([self.sizes, sizes])
+        self.flat, self.uses = np.concatenate([self.flat, flat]), np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
-    def _learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        first = len(self.flat) + np.cumsum(sizes) - sizes
-        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
-        self.starts, self.sizes = np.concatenate([self.starts, first]), np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+    def _forget(self) -> None:
+        stay = np.flatnonzero(self.uses > 1)
+        stay = np.sort(stay[np.argsort(-self.uses[stay], kind="stable")][: self.keep // 2])
+        place = np.full(len(self.uses), -1, np.int64)
+        place[stay] = np.arange(len(stay))
+        new = place.tolist()
+        self.known = {w: new[k] for w, k in self.known.items() if new[k] >= 0}
+        sizes = self.sizes[stay]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(self.starts[stay] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.starts, self.sizes, self.uses = ends - sizes, sizes, self.uses[stay] // 2
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
-        new = sorted(set().union(*words).difference(self.known))
-        if len(self.known) + len(new) > self.keep and self.known:
-            self._forget()
-            new = sorted(set().union(*words))
-        if new:
-            self._learn(new)
-        known = self.known
-        counts = np.array([len(w) for w in words], dtype=np.int64)
-        at = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(counts.sum()))
+        codes, counts, words = common.split_words([_lower(t) for t in texts])
+        found = list(map(self.known.get, words, itertools.repeat(-1)))
+        for learn in (self._learn, self._learn_more):  # while it learns it may forget some words
+            if new := [w for w, k in zip(words, found, strict=True) if k < 0]:
+                learn(new)
+                found = list(map(self.known.get, words, itertools.repeat(-1)))
+        known = np.array(found, np.int64)
+        self.uses[known] += np.bincount(codes, minlength=len(words))
+        at = known[codes]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -206,6 +269,13 @@ class WordTokens:
         end = np.array([end_id], np.uint32)
         return [np.concatenate([ids[bounds[k] : bounds[k + 1]], end]) for k in range(len(texts))]
 
+    def _learn_more(self, new: list[bytes]) -> None:
+        keep, self.keep = self.keep, len(self.known) + len(new)
+        try:
+            self._learn(new)
+        finally:
+            self.keep = keep
+
 
 _tokenizers: dict[str, WordTokens] = {}
 

@@ -310,19 +310,19 @@ class Scorer:
 
     def score(self, texts: list[bytes]) -> list[float]:
         """The highest probability of a text's windows; of no words, the share of toxic texts learned from."""
-        split = [words_of(t) for t in texts]
-        new = sorted(set().union(*split).difference(self.known))
+        codes, counts, words = common.split_words([t.translate(common.ALNUM_WORDS) for t in texts])
+        new = sorted(set(words).difference(self.known))
         if self.known and len(self.known) + len(new) > self.keep:
             self._forget()
-            new = sorted(set().union(*split))
+            new = sorted(words)
         for k in range(0, len(new), 20_000):
             self._learn(new[k : k + 20_000])
-        known = self.known
-        windows = Windows([np.fromiter((known[w] for w in words), np.int64, len(words)) for words in split], self.net.s)
+        known = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        windows = Windows(np.split(known[codes], np.cumsum(counts)[:-1]), self.net.s)
         logits = np.full(len(texts), -np.inf, F32)
         if len(windows.owner):
             np.maximum.at(logits, windows.owner, _scores(self.net, self.gates, windows))
-        return [float(p) if words else self.prior for p, words in zip(_sigmoid(logits.astype(np.float64)), split, strict=True)]
+        return [float(p) if n else self.prior for p, n in zip(_sigmoid(logits.astype(np.float64)), counts.tolist(), strict=True)]
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str, label_col: str) -> list:
