@@ -27,6 +27,9 @@ class Settings:
     rare: float = 0.01
     #: counters of the document-frequency table
     counters: int = 1 << 18
+    #: nodes, and bytes of shingles, of a block of a large band
+    block_nodes: int = 512
+    block_bytes: int = 8_000_000
     seed: int = 20
 
 
@@ -160,7 +163,7 @@ def sketch(texts: DataFrame, sampler, s: Settings) -> DataFrame:
 
 
 def _vectors(texts: DataFrame, needed: DataFrame, sampler) -> DataFrame:
-    """node, vec for the needed nodes: a document that has the node's text is read again."""
+    """node, vec (its distinct shingles' hashes and weights) for the needed nodes: a document of that text is read again."""
     arrow = pa.schema([("node", pa.binary()), ("vec", pa.binary())])
 
     def run(batches):
@@ -176,43 +179,109 @@ def _vectors(texts: DataFrame, needed: DataFrame, sampler) -> DataFrame:
     return common.write_shared(rows.select("text").mapInArrow(run, "node binary, vec binary").dropDuplicates(["node"]), "vectors")
 
 
+def unpacked(vec: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(vec) // 12
+    return np.frombuffer(vec, "<u8", n), np.frombuffer(vec, "<f4", n, 8 * n)
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard: sum of minima over sum of maxima."""
-    (h, v), (g, w) = ((np.frombuffer(x, "<u8", len(x) // 12), np.frombuffer(x, "<f4", len(x) // 12, len(x) // 12 * 8)) for x in (a, b))
+    (h, v), (g, w) = unpacked(a), unpacked(b)
+    if not len(h) or not len(g):
+        return float(len(h) == len(g))
     at = np.searchsorted(g, h)
     at[at == len(g)] = 0
-    same = g[at] == h if len(g) else np.zeros(len(h), bool)
-    common_weight = float(np.minimum(v[same], w[at[same]]).sum(dtype=np.float64))
-    total = float(v.sum(dtype=np.float64)) + float(w.sum(dtype=np.float64)) - common_weight
-    return common_weight / total if total else 1.0
+    same = g[at] == h
+    shared = float(np.minimum(v[same], w[at[same]]).sum(dtype=np.float64))
+    return shared / (float(v.sum(dtype=np.float64)) + float(w.sum(dtype=np.float64)) - shared)
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that reach the similarity, with it."""
-    arrow = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
+    """The pairs (a, b) that reach the similarity."""
+    arrow = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                value = [similarity(x.as_py(), y.as_py()) for x, y in zip(part.column("va"), part.column("vb"), strict=True)]
-                keep = pa.array([v >= least for v in value])
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(value, pa.float64()).filter(keep)], schema=arrow)
+                keep = pa.array([similarity(x.as_py(), y.as_py()) >= least for x, y in zip(part.column("va"), part.column("vb"), strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], schema=arrow)
 
     va, vb = vectors.select(F.col("node").alias("a"), F.col("vec").alias("va")), vectors.select(F.col("node").alias("b"), F.col("vec").alias("vb"))
-    return pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(run, "a binary, b binary, similarity double")
+    return pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(run, "a binary, b binary")
+
+
+def forest(vecs: list[bytes], labels: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Links that join all labels whose texts, directly or by others of the list, reach the similarity: of all pairs of
+    different labels, a spanning forest. A list's similarities to each text come from one pass over an index by shingle."""
+    if not vecs:
+        return []
+    parts = [unpacked(v) for v in vecs]
+    sizes = np.array([len(h) for h, _ in parts], dtype=np.int64)
+    hashes, weights = np.concatenate([h for h, _ in parts]), np.concatenate([w for _, w in parts])
+    owner = np.repeat(np.arange(len(vecs)), sizes)
+    order = np.argsort(hashes, kind="stable")
+    by_hash, by_owner, by_weight = hashes[order], owner[order], weights[order]
+    totals = np.bincount(owner, weights=weights, minlength=len(vecs))
+    codes = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+    root = np.array([codes[x] for x in labels])
+    links = []
+    for k, (h, w) in enumerate(parts):
+        if (root == root[0]).all():
+            break
+        first, last = np.searchsorted(by_hash, h, "left"), np.searchsorted(by_hash, h, "right")
+        counts = last - first
+        ends = np.cumsum(counts)
+        at = np.repeat(first - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        shared = np.bincount(by_owner[at], weights=np.minimum(by_weight[at], np.repeat(w, counts)), minlength=len(vecs))
+        for j in np.flatnonzero((shared >= least * (totals + totals[k] - shared)) & (root != root[k])).tolist():
+            if root[j] != root[k]:
+                links.append((k, j))
+                root[root == root[j]] = root[k]
+    return links
+
+
+def _inside_bands(open_bands: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
+    """Links across components inside bands, by blocks of at most about block_nodes nodes and block_bytes of shingles: every
+    two blocks of a band meet in one group, so rows grow with nodes x blocks and no group with the band."""
+    arrow = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    key = ["band", "value", "low", "high"]
+
+    def run(batches):
+        last, rows = None, []
+
+        def links():
+            pairs = forest([r[2] for r in rows], [r[1] for r in rows], s.similarity)
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in pairs], pa.binary()), pa.array([rows[j][0] for _, j in pairs], pa.binary())], schema=arrow)
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in key), strict=True)
+            for k, this in enumerate(keys):
+                if this != last:
+                    if len(rows) > 1:
+                        yield links()
+                    last, rows = this, []
+                rows.append(tuple(batch.column(c)[k].as_py() for c in ("node", "label", "vec")))
+        if len(rows) > 1:
+            yield links()
+
+    blocked = open_bands.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    blocked = blocked.select("band", "value", "node", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    grouped = blocked.join(vectors, "node").repartition(*key).sortWithinPartitions(*key)
+    return grouped.select(*key, "node", "label", "vec").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, group_id (the smallest id of the group), group_size, n_links for every document. Groups are the connected
-    components of links between texts whose weighted Jaccard similarity over TF-IDF shingles is at least the setting.
+    """doc_id, group_id (the smallest id of the group), group_size for every document. Groups are the connected components of
+    links between texts whose weighted Jaccard similarity over TF-IDF shingles is at least the setting.
 
     1. A table of fixed size gives document frequencies over all documents. 2. One pass gives each document a key of its
-    words, its bands of samples and its weight; documents of one key are copies, and one of them stands for all. 3. Nodes
-    that share a band are linked, if similar, to the smallest of them, which takes as many comparisons as there are nodes.
-    4. In a band whose nodes are then still in several components, all pairs across components are compared, unless their
-    weights rule the similarity out; so no link that a band shows is lost, and a group of thousands of near copies does not
-    make all its pairs. n_links counts the links found so, of the document's node.
+    words, its bands of samples and its weight; documents of one key are copies, and one of them stands for all. 3. The nodes
+    of a band are compared with one of them, its hub, the one that meets the most nodes over all its bands: as many
+    comparisons as nodes. 4. In bands whose other nodes are then still in several components, all are compared across
+    components, block by block, and only links that join components come out. So no link that a band shows is lost, and a
+    group of thousands of near copies does not make all its pairs.
 
     Words are A-Z lower-cased runs of 0-9, a-z and characters above 0x7F; a text of fewer than five words is one shingle;
     texts without words are copies only of equal texts (null is empty). Texts are read whole. Rows that repeat an id each get
@@ -227,26 +296,27 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands"))
     nodes = common.write_shared(nodes, "nodes")
     banded = nodes.select("node", "weight", F.posexplode("bands").alias("band", "value"))
-    shared = banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.min_by("weight", "node").alias("hub_weight"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = common.write_shared(banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("band_weight")).where("n > 1"), "bands")
     members = common.write_shared(banded.join(shared, ["band", "value"]), "members")
-    needed = nodes.join(members.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
+    met = members.groupBy("node").agg(F.sum("n").alias("met"), F.any_value("weight").alias("weight"))
+    needed = nodes.join(met.select("node"), "node", "left_semi").select("doc_id").distinct()
     vectors = _vectors(texts, needed, sampler)
-    near = f"least({{0}}, {{1}}) >= {s.similarity} * greatest({{0}}, {{1}}) * 0.999999"
-    stars = members.where("node <> hub").where(near.format("weight", "hub_weight")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = members.join(met.select("node", "met"), "node").groupBy("band", "value").agg(F.max(F.struct("met", "node", "weight")).alias("top"))
+    hubs = hubs.select("band", "value", F.col("top.node").alias("hub"), F.col("top.weight").alias("hub_weight"))
+    members = common.write_shared(members.join(hubs, ["band", "value"]).where("node <> hub"), "spokes")
+    near = F.least("weight", "hub_weight") >= s.similarity * F.greatest("weight", "hub_weight") * 0.999999
+    stars = members.where(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = common.write_shared(_verified(stars, vectors, s.similarity), "links")
     labels = components(links)
-    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("band", "value", "node", "weight", "label")
+    placed = members.select("band", "value", "node", "n", "band_weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_bands = placed.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "value")
-    placed = common.write_shared(placed.join(mixed_bands, ["band", "value"], "left_semi"), "open-bands")
-    x, y = (placed.select("band", "value", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "weight", "label"))) for k in ("a", "b"))
-    rest = x.join(y, ["band", "value"]).where("node_a < node_b and label_a <> label_b").where(near.format("weight_a", "weight_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = common.write_shared(_verified(rest, vectors, s.similarity), "links")
+    bytes_of = F.col("band_weight") / float(sampler.value.usual) * 12
+    blocks = F.ceil(F.greatest(F.col("n") / s.block_nodes, bytes_of / s.block_bytes)).cast("long")
+    opened = placed.join(mixed_bands, ["band", "value"], "left_semi").select("band", "value", "node", "label", blocks.alias("blocks"))
+    more = common.write_shared(_inside_bands(opened, vectors, s), "links")
     if more.limit(1).count():
-        links = links.unionByName(more)
-        labels = components(links)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = nodes.select("node", "doc_id", "copies").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labels = components(links.unionByName(more))
+    classes = nodes.select("node", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = classes.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.sum("copies").alias("group_size"))
-    classes = classes.join(groups, "label").select("node", "group_id", "group_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return sketched.select("doc_id", "node").join(classes, "node").select("doc_id", "group_id", "group_size", "n_links")
+    classes = classes.join(groups, "label").select("node", "group_id", "group_size")
+    return sketched.select("doc_id", "node").join(classes, "node").select("doc_id", "group_id", "group_size")
