@@ -43,11 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[context.applicationId]
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
+def write_shared(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet to the shared folder and returns it as read from there: a cut of lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/refloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

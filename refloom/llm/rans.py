@@ -294,8 +294,8 @@ def id_type(tokenizer: str, end_id: int) -> str:
     return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def tokenize(rows: DataFrame, tokenizer: str, end_id: int, dtype: str) -> DataFrame:
-    """The text of each row replaced by its ids, the end id last, packed as dtype."""
+def tokenize(rows: DataFrame, tokenizer: str, end_id: int, dtype: str, lower: bool = False) -> DataFrame:
+    """The text of each row replaced by its ids, the end id last, packed as dtype. lower: A-Z are lower-cased first."""
     others = [c for c in rows.columns if c != "text"]
     rows = rows.select(*others, "text")
     schema = rows.select(*others, F.lit(b"").alias("ids")).schema
@@ -304,6 +304,7 @@ def tokenize(rows: DataFrame, tokenizer: str, end_id: int, dtype: str) -> DataFr
         encoder = word_tokens(tokenizer)
         for batch in batches:
             for start, texts in common.byte_column(batch, "text", 1000):
+                texts = [t.lower() for t in texts] if lower else texts
                 ids = pa.array([i.astype(dtype).tobytes() for i in encoder.encode(texts, end_id)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(texts)) for c in others), ids], names=[*others, "ids"])
 
