@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .decontamination import words_of
 
 F32 = np.float32
 
@@ -30,7 +29,7 @@ class Settings:
     grams: tuple[int, ...] = (3, 4, 5)
     #: at most so many labelled documents of each class are learned from, the first in a hash order
     fit_toxic: int = 2000
-    fit_clean: int = 4000
+    fit_clean: int = 5000
     epochs: int = 5
     batch: int = 128
     rate: float = 0.01
@@ -210,47 +209,69 @@ class Windows:
         starts = base[self.owner] + np.array([a for _, a, _ in spans], dtype=np.int64) if spans else np.zeros(0, np.int64)
         steps = np.arange(s.window)
         places = np.minimum(starts[:, None] + np.minimum(steps[None, :], self.lengths[:, None] - 1), len(flat) - 1)
-        self.at = flat[places]
+        self.at = flat[places].astype(np.int32)
 
 
-def _odds(present: Counter, absent: Counter, n_present: int, n_absent: int, keys: list) -> np.ndarray:
-    a = np.array([present[k] for k in keys], dtype=np.float64)
-    b = np.array([absent[k] for k in keys], dtype=np.float64)
-    return np.clip(np.log((a + 0.5) / (n_present + 1)) - np.log((b + 0.5) / (n_absent + 1)), -2, 6).astype(F32) / 2
+def _odds(present: np.ndarray, absent: np.ndarray, n_present: int, n_absent: int) -> np.ndarray:
+    return np.clip(np.log((present + 0.5) / (n_present + 1)) - np.log((absent + 0.5) / (n_absent + 1)), -2, 6).astype(F32) / 2
+
+
+def _all_grams(words: list[bytes], s: Settings, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """word_grams of many words, in parts that bound its memory."""
+    parts, firsts, n = [np.zeros(0, np.int32)], [], 0
+    for k in range(0, len(words), at_once):
+        rows, first = word_grams(words[k : k + at_once], s)
+        parts.append(rows.astype(np.int32))
+        firsts.append(first + n)
+        n += len(rows)
+    return np.concatenate(parts), np.concatenate(firsts)
+
+
+def _spans(first: np.ndarray, ends: np.ndarray, rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of some words, and the words' first places in them."""
+    counts = ends[words] - first[words]
+    own_first = np.cumsum(counts) - counts
+    return rows[np.repeat(first[words] - own_first, counts) + np.arange(int(counts.sum()))], own_first
 
 
 def fit(texts: list[bytes], toxic: list[int], s: Settings = DEFAULT) -> Network | None:
-    """The network, or None if there is only one class. Windows of clean texts are clean. Of a toxic text the window that
-    scores highest is learned as toxic, chosen anew before each epoch; of clean texts, the highest and a random one."""
+    """The network, or None if there is only one class or no word. Windows of clean texts are clean. Of a toxic text the
+    window that scores highest is learned as toxic, chosen anew before each epoch; of clean texts, the highest and random
+    ones."""
     y = np.array(toxic, dtype=F32)
     if not len(y) or y.min() == y.max():
         return None
-    split = [words_of(t) for t in texts]
-    seen = [Counter(), Counter()]
-    for words, label in zip(split, toxic, strict=True):
-        seen[label].update(set(words))
-    n = [int((y == 0).sum()), int((y == 1).sum())]
-    common_words = sorted(seen[0] | seen[1], key=lambda w: (-seen[0][w] - seen[1][w], w))
-    vocabulary = {w: k + 1 for k, w in enumerate(w for w in common_words[: s.max_words] if seen[0][w] + seen[1][w] > 1)}
-    distinct = {w: k for k, w in enumerate(common_words)}
-    grams = [Counter(), Counter()]
-    rows, first = word_grams(common_words, s)
+    codes, counts, words = common.split_words([t.translate(common.ALNUM_WORDS) for t in texts])
+    if not words:
+        return None
+    indexed = np.split(codes, np.cumsum(counts)[:-1])
+    rows, first = _all_grams(words, s)
     ends = np.append(first[1:], len(rows))
-    for words, label in zip(split, toxic, strict=True):
-        if words:
-            own = np.unique([distinct[w] for w in set(words)])
-            grams[label].update(np.unique(np.concatenate([rows[first[k] : ends[k]] for k in own])).tolist())
-    net = Network(s, vocabulary, _odds(seen[1], seen[0], n[1], n[0], list(vocabulary)), _odds(grams[1], grams[0], n[1], n[0], list(range(s.gram_buckets))))
+    n = [int((y == 0).sum()), int((y == 1).sum())]
+    seen, grams = np.zeros((2, len(words))), np.zeros((2, s.gram_buckets))
+    for own, label in zip(indexed, toxic, strict=True):
+        own = np.unique(own)
+        seen[label, own] += 1
+        grams[label, np.unique(_spans(first, ends, rows, own)[0])] += 1
+    total = seen.sum(axis=0)
+    commonest = sorted(np.flatnonzero(total > 1).tolist(), key=lambda k: (-total[k], words[k]))[: s.max_words]
+    net = Network(s, {words[k]: at + 1 for at, k in enumerate(commonest)}, _odds(seen[1, commonest], seen[0, commonest], n[1], n[0]), _odds(grams[1], grams[0], n[1], n[0]))
+    ids = np.zeros(len(words), np.int64)
+    ids[commonest] = np.arange(1, len(commonest) + 1)
+    del codes, words, seen, total
     rng = np.random.default_rng(s.seed)
-    indexed = [np.array([distinct[w] for w in words], dtype=np.int64) for words in split]
     all_windows = Windows(indexed, s)
-    ids = np.array([vocabulary.get(w, 0) for w in common_words], dtype=np.int64)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     owner, label = all_windows.owner, y[all_windows.owner]
     for epoch in range(s.epochs):
         if epoch:
-            logits = _scores(net, net.project(net.embed(ids, rows, first)), all_windows)
+            gates = np.empty((2, len(ids), 3 * s.hidden), F32)
+            for start in range(0, len(ids), 20_000):
+                part = np.arange(start, min(start + 20_000, len(ids)))
+                gates[:, part] = net.project(net.embed(ids[part], *_spans(first, ends, rows, part)))
+            logits = _scores(net, gates, all_windows)
+            del gates
         else:  # before anything is learned: the words' log odds
             top = np.append(net.p["words"][:, 0], 0)[np.append(ids, 0)]
             logits = top[all_windows.at].max(axis=1)
@@ -262,10 +283,7 @@ def fit(texts: list[bytes], toxic: list[int], s: Settings = DEFAULT) -> Network
         for start in range(0, len(chosen), s.batch):
             part = chosen[start : start + s.batch]
             used, at = np.unique(all_windows.at[part], return_inverse=True)
-            counts = ends[used] - first[used]
-            own_first = np.cumsum(counts) - counts
-            own_rows = rows[np.repeat(first[used] - own_first, counts) + np.arange(counts.sum())]
-            g, _ = net.gradients([ids[used], own_rows, own_first], at.reshape(len(part), -1), all_windows.lengths[part], label[part])
+            g, _ = net.gradients([ids[used], *_spans(first, ends, rows, used)], at.reshape(len(part), -1), all_windows.lengths[part], label[part])
             step += 1
             for k, v in net.p.items():
                 m1, m2 = moments[k]
@@ -325,7 +343,7 @@ class Scorer:
         return [float(p) if n else self.prior for p, n in zip(_sigmoid(logits.astype(np.float64)), counts.tolist(), strict=True)]
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str, label_col: str) -> list:
+def fit_rows(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """Whole labelled texts outside the held-out part, at most fit_toxic and fit_clean of them, first by a hash of the id."""
     y = labels.select(labels[id_col].alias("label_id"), labels[label_col].cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     learned = y.where(F.crc32(F.col("label_id").cast("string")) % 3 != 1)
@@ -333,14 +351,27 @@ def fit_rows(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_
     chosen = F.broadcast(ids[0].unionByName(ids[1]))  # no more rows than the two limits
     texts = common.texts(docs, id_col, text_col)
     rows = texts.join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    rows = rows.dropDuplicates(["doc_id", "text"]).collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+    return rows.dropDuplicates(["doc_id", "text"])
+
+
+def fitted(rows: DataFrame, s: Settings) -> tuple[Network | None, float]:
+    """(the network, the share of toxic texts), fitted in one task, which the limits of fit_rows bound."""
+    schema = pa.schema([("net", pa.binary()), ("prior", pa.float64())])
+
+    def run(batches):
+        learned = sorted((r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True)))
+        if learned:
+            net = fit([t.encode() for _, t, _ in learned], [y for *_, y in learned], s)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary()), pa.array([sum(y for *_, y in learned) / len(learned)])], schema=schema)
+
+    made = rows.repartition(1).mapInArrow(run, "net binary, prior double").collect()
+    return (pickle.loads(bytes(made[0]["net"])), made[0]["prior"]) if made else (None, 0.0)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from the threshold up) for every document.
 
-    The network is fitted on the driver on a bounded sample, settings.fit_toxic and settings.fit_clean labelled documents,
+    The network is fitted in one task on a bounded sample, settings.fit_toxic and settings.fit_clean labelled documents,
     whose crc32(id as text) mod 3 is not 1; all other work is on every document. A text's score is the highest of its
     overlapping windows of `window` words, which cover the whole of it. Only the text is an input of a score.
 
@@ -348,10 +379,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = DEFA
     or 0, is every score. Repeated rows and ids each get a row; a null id is not held out; of contradicting labels of an id
     the toxic one holds; null labels are not learned. An empty table gives an empty table. Other columns are not read.
     """
-    rows = fit_rows(docs, labels, settings, id_col, text_col, label_col)
-    net = fit([r["text"].encode() for r in rows], [r["toxic"] for r in rows], settings)
-    prior = sum(r["toxic"] for r in rows) / len(rows) if rows else 0.0
-    del rows
+    net, prior = fitted(fit_rows(docs, labels, settings, id_col, text_col, label_col), settings)
     shared = docs.sparkSession.sparkContext.broadcast((net, prior))
     arrow = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
