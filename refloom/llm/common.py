@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,6 +24,11 @@ ALNUM_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
+ROWS_AT_ONCE = 1000
+
+#: What a worker process keeps from task to task, by the operator that made it.
+_worker_caches: dict[str, object] = {}
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -52,10 +58,29 @@ def write_shared(df: DataFrame, name: str, compression: str = "snappy") -> DataF
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator reads, under fixed names; other columns, whatever their names, can't clash."""
+    """Only the two columns an operator reads, under fixed names; other columns, whatever their names, can't clash.
+
+    Texts and vectors are large rows: the session sends at most ROWS_AT_ONCE of them to Python in one batch from here on."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def worker_cache(owner: str, make):
+    """make() of this worker process, kept for its later tasks of the same owner."""
+    if owner not in _worker_caches:
+        clear_worker_caches()
+        _worker_caches[owner] = make()
+    return _worker_caches[owner]
+
+
+def clear_worker_caches() -> None:
+    """Gives back what other operators' tasks have left in this worker process, so that an executor's memory doesn't add up."""
+    if _worker_caches:
+        _worker_caches.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

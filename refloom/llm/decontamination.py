@@ -109,6 +109,7 @@ def word_frequency(rows: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     shared = rows.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 
     def count(batches):
+        common.clear_worker_caches()
         known, total = shared.value, Counter()
         for batch in batches:
             for _, texts in common.byte_column(batch, "text"):
@@ -154,6 +155,7 @@ def _pass(rows: DataFrame, block: list[tuple[int, bytes]], n: int) -> DataFrame:
     index = rows.sparkSession.sparkContext.broadcast(WindowIndex(block, n, frequency))
 
     def join(batches):
+        common.clear_worker_caches()
         known = index.value
         for batch in batches:
             for start, texts in common.byte_column(batch, "text"):

@@ -122,6 +122,7 @@ def document_frequency(texts: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
         return pa.RecordBatch.from_arrays([pa.array([salt] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], schema=arrow)
 
     def count(batches):
+        common.clear_worker_caches()
         total, n = np.zeros(s.counters, np.int64), 0
         for batch in batches:
             for _, values in common.byte_column(batch, "text", 500):
@@ -149,6 +150,7 @@ def sketch(texts: DataFrame, sampler, s: Settings) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
+        common.clear_worker_caches()
         own = sampler.value
         for batch in batches:
             for start, values in common.byte_column(batch, "text", 500):
@@ -167,6 +169,7 @@ def _vectors(texts: DataFrame, needed: DataFrame, sampler) -> DataFrame:
     arrow = pa.schema([("node", pa.binary()), ("vec", pa.binary())])
 
     def run(batches):
+        common.clear_worker_caches()
         own = sampler.value
         for batch in batches:
             for _, values in common.byte_column(batch, "text", 500):
@@ -201,6 +204,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     arrow = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches):
+        common.clear_worker_caches()
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
@@ -248,6 +252,7 @@ def _inside_bands(open_bands: DataFrame, vectors: DataFrame, s: Settings) -> Dat
     key = ["band", "value", "low", "high"]
 
     def run(batches):
+        common.clear_worker_caches()
         last, rows = None, []
 
         def links():

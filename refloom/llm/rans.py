@@ -277,14 +277,9 @@ class WordTokens:
             self.keep = keep
 
 
-_tokenizers: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
     """One for each worker process, which then knows the words of its earlier tasks."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokens(path)
-    return _tokenizers[path]
+    return common.worker_cache(f"word tokens {path}", lambda: WordTokens(path))
 
 
 def id_type(tokenizer: str, end_id: int) -> str:

@@ -359,6 +359,7 @@ def fitted(rows: DataFrame, s: Settings) -> tuple[Network | None, float]:
     schema = pa.schema([("net", pa.binary()), ("prior", pa.float64())])
 
     def run(batches):
+        common.clear_worker_caches()
         learned = sorted((r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True)))
         if learned:
             net = fit([t.encode() for _, t, _ in learned], [y for *_, y in learned], s)
@@ -384,6 +385,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = DEFA
     arrow = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
+        common.clear_worker_caches()
         net, prior = shared.value
         scorer = Scorer(net, prior) if net else None
         for batch in batches:
