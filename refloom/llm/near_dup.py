@@ -188,15 +188,17 @@ def unpacked(vec: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard: sum of minima over sum of maxima."""
+    """The larger of weighted Jaccard (sum of minima over sum of maxima) and plain Jaccard: in a group that is a large part
+    of the corpus what its texts share weighs little, and edits much."""
     (h, v), (g, w) = unpacked(a), unpacked(b)
     if not len(h) or not len(g):
         return float(len(h) == len(g))
     at = np.searchsorted(g, h)
     at[at == len(g)] = 0
     same = g[at] == h
+    n = int(same.sum())
     shared = float(np.minimum(v[same], w[at[same]]).sum(dtype=np.float64))
-    return shared / (float(v.sum(dtype=np.float64)) + float(w.sum(dtype=np.float64)) - shared)
+    return max(shared / (float(v.sum(dtype=np.float64)) + float(w.sum(dtype=np.float64)) - shared), n / (len(h) + len(g) - n))
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
@@ -238,7 +240,9 @@ def forest(vecs: list[bytes], labels: list[bytes], least: float) -> list[tuple[i
         ends = np.cumsum(counts)
         at = np.repeat(first - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
         shared = np.bincount(by_owner[at], weights=np.minimum(by_weight[at], np.repeat(w, counts)), minlength=len(vecs))
-        for j in np.flatnonzero((shared >= least * (totals + totals[k] - shared)) & (root != root[k])).tolist():
+        n = np.bincount(by_owner[at], minlength=len(vecs))
+        alike = (shared >= least * (totals + totals[k] - shared)) | (n >= least * (sizes + sizes[k] - n))
+        for j in np.flatnonzero(alike & (root != root[k])).tolist():
             if root[j] != root[k]:
                 links.append((k, j))
                 root[root == root[j]] = root[k]
@@ -279,7 +283,7 @@ def _inside_bands(open_bands: DataFrame, vectors: DataFrame, s: Settings) -> Dat
 
 def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, group_id (the smallest id of the group), group_size for every document. Groups are the connected components of
-    links between texts whose weighted Jaccard similarity over TF-IDF shingles is at least the setting.
+    links between texts whose Jaccard similarity, weighted over TF-IDF shingles or plain, is at least the setting.
 
     1. A table of fixed size gives document frequencies over all documents. 2. One pass gives each document a key of its
     words, its bands of samples and its weight; documents of one key are copies, and one of them stands for all. 3. The nodes
@@ -303,14 +307,13 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
     banded = nodes.select("node", "weight", F.posexplode("bands").alias("band", "value"))
     shared = common.write_shared(banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("band_weight")).where("n > 1"), "bands")
     members = common.write_shared(banded.join(shared, ["band", "value"]), "members")
-    met = members.groupBy("node").agg(F.sum("n").alias("met"), F.any_value("weight").alias("weight"))
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
     needed = nodes.join(met.select("node"), "node", "left_semi").select("doc_id").distinct()
     vectors = _vectors(texts, needed, sampler)
-    hubs = members.join(met.select("node", "met"), "node").groupBy("band", "value").agg(F.max(F.struct("met", "node", "weight")).alias("top"))
-    hubs = hubs.select("band", "value", F.col("top.node").alias("hub"), F.col("top.weight").alias("hub_weight"))
+    hubs = members.join(met.select("node", "met"), "node").groupBy("band", "value").agg(F.max(F.struct("met", "node")).alias("top"))
+    hubs = hubs.select("band", "value", F.col("top.node").alias("hub"))
     members = common.write_shared(members.join(hubs, ["band", "value"]).where("node <> hub"), "spokes")
-    near = F.least("weight", "hub_weight") >= s.similarity * F.greatest("weight", "hub_weight") * 0.999999
-    stars = members.where(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = common.write_shared(_verified(stars, vectors, s.similarity), "links")
     labels = components(links)
     placed = members.select("band", "value", "node", "n", "band_weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
