@@ -41,7 +41,7 @@ def family_name(c: Column) -> Column:
 
 
 def first_year(c: Column, pattern: str = r"\b((?:19|20)[0-9]{2})\b") -> Column:
-    return F.expr("try_cast(x as int)").alias("y") if c is None else empty_to_null(F.regexp_extract(c, pattern, 1)).cast("int")
+    return empty_to_null(F.regexp_extract(c, pattern, 1)).cast("int")
 
 
 #: Years that records carry: 1500 to 2199.
@@ -113,3 +113,35 @@ def response_lines(c: Column) -> Column:
     """Lines of a model's answer between start and end tags: trimmed, without empty ones."""
     lines = F.split(F.regexp_replace(c, r"(?i)</?(start|end)>", ""), r"\r\n|\n|\r")
     return F.filter(F.transform(lines, F.trim), lambda x: x != "")
+
+
+def source_of_id(c: Column, prefixes: list[str], doi_source: str = "doi", other: str = "unknown") -> Column:
+    """The prefix before '_' that an id starts with, doi_source for ids such as 10.1234_x, else other."""
+    found = F.when(c.rlike(r"^10\.[0-9]+_"), doi_source)
+    for p in prefixes:
+        found = found.when(c.startswith(p + "_"), p)
+    return found.otherwise(other)
+
+
+def path_tail(c: Column, n: int = 1) -> Column:
+    """The last n parts of a path or address."""
+    parts = F.split(c, "/")
+    return F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - n + 1), n), "/")
+
+
+def display_string(authors: Column, title: Column, journal: Column, date: Column, volume: Column, pages: Column) -> Column:
+    """'authors. title. journal. date. Vol. v. pp. p'; what is null or empty is left out."""
+    parts = [F.array_join(authors, ", "), title, journal, date.cast("string"), F.concat(F.lit("Vol. "), empty_to_null(volume.cast("string"))), F.concat(F.lit("pp. "), empty_to_null(pages))]
+    return F.concat_ws(". ", *(empty_to_null(p) for p in parts))
+
+
+def filled_prompt(template: Column, **values: Column) -> Column:
+    """The template with {{NAME}} replaced by values; null counts as empty."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{{" + name.upper() + "}}"), F.coalesce(value, F.lit("")))
+    return template
+
+
+def chat(system: Column, user: Column, assistant: Column) -> Column:
+    """Messages of a training example, as JSON."""
+    return F.to_json(F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", system), ("user", user), ("assistant", assistant)))))

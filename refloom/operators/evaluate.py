@@ -29,6 +29,8 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     if cost.shape[0] > cost.shape[1]:
         return sorted((i, j) for j, i in assignment(cost.T))
     n, m = cost.shape
+    if n == 1:
+        return [(0, int(cost[0].argmin()))]
     rows, columns = np.zeros(n + 1), np.zeros(m + 1)
     owner, came = np.zeros(m + 1, int), np.zeros(m + 1, int)
     for i in range(1, n + 1):
@@ -68,3 +70,79 @@ def align_strings(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "matches", "preds", "labels", "similarity"])
 
     return pairs.select("doc_id", "gold", "predicted").mapInPandas(run, "doc_id long, matches long, preds long, labels long, similarity double")
+
+
+#: How values are compared: equal, alike from a threshold up, or by their likeness itself.
+MODES = ("exact", "fuzzy", "soft_fuzzy")
+
+
+def value_match(a: str | None, b: str | None, mode: str, threshold: float) -> float:
+    """0 to 1; values are trimmed and compared in lower case, null matches nothing."""
+    if a is None or b is None:
+        return 0.0
+    a, b = a.strip().lower(), b.strip().lower()
+    if mode == "exact":
+        return float(a == b)
+    likeness = indel_ratio(a, b) / 100
+    return likeness if mode == "soft_fuzzy" else float(likeness >= threshold)
+
+
+def field_counts(predicted: list | None, gold: list | None, mode: str, threshold: float) -> tuple[float, int, int]:
+    """Matches, predictions and labels of one field: lists of one length by position, others by the best assignment. A match
+    counts whole outside soft mode."""
+    if not predicted or not gold:
+        return 0.0, len(predicted or ()), len(gold or ())
+    if len(predicted) == len(gold):
+        total = sum(value_match(p, g, mode, threshold) for p, g in zip(predicted, gold))
+    else:
+        score = np.array([[value_match(p, g, mode, threshold) for g in gold] for p in predicted])
+        total = sum(score[i, j] for i, j in assignment(-score))
+    return float(total), len(predicted), len(gold)
+
+
+def align_records(pairs: DataFrame, fields: list[str], mode: str = "exact", threshold: float = 0.8) -> DataFrame:
+    """pairs: doc_id, gold, predicted, both arrays of map<string, array<string>> (a scalar is a list of one). Records are aligned one
+    to one so that the sum of their F1 is highest; those left over count with their own fields. One row for each document
+    and field: doc_id, field, matches, preds, labels, and doc_f1, the mean F1 of the document's records, those left over at 0;
+    1 where there are none at all. One document's records are held at a time."""
+    if mode not in MODES:
+        raise ValueError(f"mode is {mode}, not one of {MODES}")
+
+    def stats(p: dict, g: dict) -> list[tuple[float, int, int]]:
+        return [field_counts(p.get(f), g.get(f), mode, threshold) for f in fields]
+
+    def f1(counts: list[tuple[float, int, int]]) -> float:
+        size = sum(p + n for _, p, n in counts)
+        return 2 * sum(m for m, _, _ in counts) / size if size else 0.0
+
+    def records(rows) -> list[dict]:
+        return [{k: list(v) for k, v in (r.items() if isinstance(r, dict) else r) if v is not None} if r is not None else {} for r in (rows if rows is not None else ())]
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for doc_id, gold, predicted in zip(part["doc_id"], part["gold"], part["predicted"], strict=True):
+                gold, predicted = records(gold), records(predicted)
+                counts = [[stats(p, g) for g in gold] for p in predicted]
+                score = np.array([[f1(c) for c in row] for row in counts]).reshape(len(predicted), len(gold))
+                chosen = assignment(-score)
+                alone = [stats(predicted[i], {}) for i in set(range(len(predicted))) - {i for i, _ in chosen}]
+                alone += [stats({}, gold[j]) for j in set(range(len(gold))) - {j for _, j in chosen}]
+                total = [tuple(map(sum, zip(*of))) for of in zip(*(counts[i][j] for i, j in chosen), *alone)] or [(0.0, 0, 0)] * len(fields)
+                n = max(len(gold), len(predicted))
+                mean = float(sum(score[c] for c in chosen)) / n if n else 1.0
+                out += [(doc_id, f, float(m), p, g, mean) for f, (m, p, g) in zip(fields, total, strict=True)]
+            yield pd.DataFrame(out, columns=["doc_id", "field", "matches", "preds", "labels", "doc_f1"])
+
+    return pairs.select("doc_id", "gold", "predicted").mapInPandas(run, "doc_id long, field string, matches double, preds long, labels long, doc_f1 double")
+
+
+def per_field(aligned: DataFrame) -> DataFrame:
+    """field, matches, preds, labels, precision, recall, f1 over all documents."""
+    return with_prf(aligned.groupBy("field").agg(*(F.sum(c).alias(c) for c in ("matches", "preds", "labels"))))
+
+
+def overall(aligned: DataFrame) -> DataFrame:
+    """One row: precision, recall and f1 over all fields, and macro_f1, the mean over documents."""
+    documents = aligned.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("matches", "preds", "labels")), F.first("doc_f1").alias("doc_f1"))
+    return with_prf(documents.agg(*(F.sum(c).alias(c) for c in ("matches", "preds", "labels")), F.round(F.avg("doc_f1"), 4).alias("macro_f1")))

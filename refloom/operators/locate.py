@@ -40,3 +40,31 @@ def locate_sections(docs: DataFrame, slack: int = 1) -> DataFrame:
 def max_cosine(vectors: DataFrame, queries: DataFrame, score: Column) -> DataFrame:
     """The highest similarity of each vector to a fixed, small set of query vectors."""
     return vectors.crossJoin(F.broadcast(queries)).groupBy("vec_id").agg(F.max(score).alias("score"))
+
+
+#: Fixed value: headings of reference sections, after the marks of a Markdown heading.
+HEADINGS = r"(?i)^#{1,6}\s+(references|bibliography|works cited|literature|literaturverzeichnis|bibliographie|références|referencias|bibliografía|bibliografia|riferimenti|referências)\s*:?\s*$"
+
+
+def heading_section(docs: DataFrame) -> DataFrame:
+    """doc_id, line, section: the lines under the first heading of references, up to the next heading of its level or a higher
+    one. Documents without one have no row."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("level", F.length(F.regexp_extract("text", r"^(#{1,6})\s", 1)))
+    first = lines.where(F.col("text").rlike(HEADINGS)).groupBy("doc_id").agg(F.min(F.struct("line", "level")).alias("head"))
+    under = lines.join(first, "doc_id").where(F.col("line") > F.col("head.line"))
+    ended = F.max(((F.col("level") > 0) & (F.col("level") <= F.col("head.level"))).cast("int")).over(Window.partitionBy("doc_id").orderBy("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    return under.withColumn("ended", ended).where("ended = 0").groupBy("doc_id").agg(F.first("head.line").alias("line"), text.alias("section"))
+
+
+def adaptive_threshold(lines: DataFrame, least: int = 2) -> DataFrame:
+    """doc_id, n_chosen, threshold: lines of at least 0.7 of the highest score; 0.5 if those are fewer than `least`, 0.85 if more than
+    half of the lines; at most half of the lines, the first by score and place. Documents whose best score is 0 have no row."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "line")
+    ranked = lines.withColumn("best", F.max("score").over(Window.partitionBy("doc_id"))).withColumn("rank", F.row_number().over(order)).where("best > 0")
+    at = lambda share: F.count_if(F.col("score") * 100 >= F.col("best") * share)
+    sums = ranked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), at(70).alias("n70"), at(50).alias("n50"), at(85).alias("n85"))
+    half = F.floor(F.col("n") / 2)
+    few, many = F.col("n70") < least, F.col("n70") > half
+    chosen = F.when(few, F.col("n50")).when(many, F.col("n85")).otherwise(F.col("n70"))
+    return sums.select("doc_id", F.least(chosen, half).alias("n_chosen"), F.when(few, 50).when(many, 85).otherwise(70).alias("threshold"))

@@ -53,8 +53,43 @@ def year_range_candidates(refs: DataFrame, index: DataFrame, key: str, slack: in
     return spread.join(index.withColumnRenamed("year", "year_key"), [key, "year_key"])
 
 
-def token_candidates(refs: DataFrame, index: DataFrame, k: int, max_share: float = 1.0) -> DataFrame:
+def token_candidates(refs: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """ref_id, rec_id, overlap, rank: the k records that share the most title words, through an inverted index by word."""
     words = lambda df, i: df.select(i, F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
     found = words(refs, "ref_id").join(words(index, "rec_id"), "word").groupBy("ref_id", "rec_id").agg(F.count(F.lit(1)).alias("overlap"))
     return top_per(found, ["ref_id"], [F.desc("overlap"), F.col("rec_id")], k)
+
+
+def merged_batches(df: DataFrame, group: str, key: str, size: int, least: int) -> DataFrame:
+    """As batches, but a last batch of fewer than `least` rows joins the one before it."""
+    numbered = batches(df, group, key, size).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    rest = F.col("n") % size
+    last = F.floor((F.col("n") - 1) / size)
+    joins = (F.col("batch") == last) & (rest > 0) & (rest < least) & (last > 0)
+    return numbered.withColumn("batch", F.when(joins, F.col("batch") - 1).otherwise(F.col("batch"))).drop("n")
+
+
+def ratio_split(df: DataFrame, stratum: str, key: str, share: float, seed: int = 42) -> DataFrame:
+    """Adds first_part: whether the row is in the first floor(n x share) rows of its stratum in hash order."""
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_key(F.col(key), seed=seed), key))
+    return df.withColumn("first_part", place <= F.floor(F.count(F.lit(1)).over(Window.partitionBy(stratum)) * F.lit(share)))
+
+
+def first_match(df: DataFrame, lookup: DataFrame, key: str, rank: str) -> DataFrame:
+    """df with the first row of lookup for its key by rank, nulls where there is none."""
+    return df.join(top_per(lookup, [key], [F.col(rank)]).drop("rank"), key, "left")
+
+
+def title_pattern_candidates(refs: DataFrame, index: DataFrame, chars: int = 50, words: int = 4, k: int = 20) -> DataFrame:
+    """ref_id, rec_id: records whose title holds, in order, the first words longer than three letters of the first so many
+    characters of the reference's title; k at most, by record. Candidates share the reference's longest such word."""
+    picked = F.slice(F.filter(F.split(F.regexp_replace(F.lower(F.substring("title", 1, chars)), r"[^\w\s]", ""), r"\s+"), lambda w: F.length(w) > 3), 1, words)
+    asked = refs.select("ref_id", picked.alias("words")).where(F.size("words") > 0)
+    asked = asked.select("ref_id", F.array_join("words", ".*").alias("pattern"), F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"].alias("word"))
+    found = index.select("rec_id", F.lower("title").alias("title")).withColumn("word", F.explode(F.array_distinct(F.split(F.regexp_replace("title", r"[^\w\s]", ""), r"\s+"))))
+    return top_per(asked.join(found, "word").where(F.rlike("title", F.col("pattern"))), ["ref_id"], [F.col("rec_id")], k).select("ref_id", "rec_id")
+
+
+def ordered_names(df: DataFrame, key: str, ordinal: str, pos: str, name: str) -> DataFrame:
+    """key, names: by ordinal, those without one last, then by place."""
+    return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce(ordinal, F.lit(999)).alias("o"), F.col(pos).alias("p"), F.col(name).alias("n")))), lambda x: x["n"]).alias("names"))

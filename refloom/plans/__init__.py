@@ -1,0 +1 @@
+from refloom.plans import catalog, record_queries  # noqa: F401  (record_queries adds to the catalog)

@@ -186,11 +186,11 @@ def label_lookup_join(t):
 
 
 @query("""WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) AS word FROM part),
-o AS (SELECT a.p_partkey AS ref_id, b.p_partkey AS rec_id, count(*) AS overlap FROM w a JOIN w b USING (word) WHERE a.p_partkey % 50 = 0 GROUP BY ALL)
+o AS (SELECT a.p_partkey AS ref_id, b.p_partkey AS rec_id, count(*) AS overlap FROM w a JOIN w b USING (word) WHERE a.p_partkey % 20 = 0 GROUP BY ALL)
 SELECT ref_id, rec_id, overlap, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY overlap DESC, rec_id) AS rank FROM o) WHERE rank <= 5""")
 def topk_candidates(t):
     index = t("part").select(F.col("p_partkey").alias("rec_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
-    return records.token_candidates(index.withColumnRenamed("rec_id", "ref_id").where("ref_id % 50 = 0"), index, 5)
+    return records.token_candidates(index.withColumnRenamed("rec_id", "ref_id").where("ref_id % 20 = 0"), index, 5)
 
 
 # Windows and samples
@@ -303,7 +303,7 @@ def validity_reasons(t):
 
 @query()
 def evaluator_aligned(t):
-    lists = lambda role, name: t("conversations").where(F.col("role") == role).groupBy(F.col("conv_id").alias("doc_id")).agg(F.collect_list(F.substring("text", 1, 60)).alias(name))
+    lists = lambda role, name: t("conversations").where(F.col("role") == role).groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list("text")).alias(name))
     return evaluate.with_prf(evaluate.align_strings(lists("user", "gold").join(lists("assistant", "predicted"), "doc_id", "full"), 0.5))
 
 
