@@ -1,4 +1,4 @@
-"""MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, bands, exact weighted Jaccard."""
+"""MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, plain minima, bands, exact Jaccard."""
 
 from __future__ import annotations
 
@@ -20,7 +20,8 @@ from .shingles import mixed, shingle_hashes, word_hashes
 class Settings:
     words: int = 5
     similarity: float = 0.8
-    #: bands x rows samples; a pair at the similarity shares no band with probability (1 - 0.8**4)**20 = 3e-5
+    #: bands x rows weighted samples, and as many plain minima; a pair at the similarity, weighted or plain, shares no band
+    #: of that kind with probability (1 - 0.8**4)**20 = 3e-5
     bands: int = 20
     rows: int = 4
     #: document frequencies are told apart from this share of all documents up
@@ -39,7 +40,8 @@ DEFAULT = Settings()
 class Sampler:
     """Improved consistent weighted sampling: for sample k a shingle of weight w has r, c ~ Gamma(2, 1) and b ~ U(0, 1) of
     its own, t = floor(ln w / r + b), ln y = r (t - b), ln a = ln c - ln y - r; the shingle of the least a, with its t, is
-    the sample. The three numbers come from a table of 65,536 triples, at a place hashed from the shingle and k."""
+    the sample. The three numbers come from a table of 65,536 triples, at a place hashed from the shingle and k. Beside each
+    weighted sample, the least hash of all shingles is a sample without weights."""
 
     def __init__(self, s: Settings, frequency: np.ndarray, n_docs: int):
         rng = np.random.default_rng(s.seed)
@@ -69,9 +71,12 @@ class Sampler:
         ks = len(self.multipliers)
         best = np.full(ks, np.inf, np.float32)
         sample, ts = np.zeros(ks, np.uint64), np.zeros(ks, np.int64)
+        plain = np.full(ks, np.iinfo(np.uint64).max, np.uint64)
         for start in range(0, len(h), 1024):
             part = h[start : start + 1024]
-            at = ((part * self.multipliers[:, None]) >> np.uint64(48)).astype(np.int64)
+            hashed = part * self.multipliers[:, None]
+            plain = np.minimum(plain, hashed.min(axis=1))
+            at = (hashed >> np.uint64(48)).astype(np.int64)
             a = self.usual_a[at]
             mine = odd[(odd >= start) & (odd < start + 1024)] - start
             if len(mine):
@@ -87,8 +92,9 @@ class Sampler:
                 t[own] = t_odd[rows[own], where[own]]
             better = least < best  # ties go to the smaller hash, as shingles come in ascending order
             best[better], sample[better], ts[better] = least[better], part[first][better], t[better]
-        keys = mixed(sample + mixed(ts.astype(np.uint64) + np.uint64(77))).reshape(self.s.bands, self.s.rows)
-        total = np.arange(self.s.bands, dtype=np.uint64)
+        weighted = mixed(sample + mixed(ts.astype(np.uint64) + np.uint64(77)))
+        keys = np.concatenate([weighted, mixed(plain)]).reshape(2 * self.s.bands, self.s.rows)
+        total = np.arange(2 * self.s.bands, dtype=np.uint64)
         for k in range(self.s.rows):
             total = mixed(total * np.uint64(31) + keys[:, k])
         return total.view(np.int64).tolist()
@@ -286,7 +292,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
     links between texts whose Jaccard similarity, weighted over TF-IDF shingles or plain, is at least the setting.
 
     1. A table of fixed size gives document frequencies over all documents. 2. One pass gives each document a key of its
-    words, its bands of samples and its weight; documents of one key are copies, and one of them stands for all. 3. The nodes
+    words, its bands of weighted and of plain samples and its weight; documents of one key are copies, and one of them stands for all. 3. The nodes
     of a band are compared with one of them, its hub, the one that meets the most nodes over all its bands: as many
     comparisons as nodes. 4. In bands whose other nodes are then still in several components, all are compared across
     components, block by block, and only links that join components come out. So no link that a band shows is lost, and a

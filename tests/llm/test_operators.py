@@ -150,6 +150,18 @@ def test_near_duplicates_against_all_pairs(spark):
                     assert group[a] == group[b]
 
 
+def test_near_duplicates_in_a_hot_group(spark):
+    hot = [f"hot{i}" for i in range(84)]
+    texts = {0: hot} | {i: hot + [f"tail{i}x{k}" for k in range(20)] for i in range(1, 120)}
+    texts |= {i: [f"own{i}x{k}" for k in range(84)] for i in range(120, 360)}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    group = {r["doc_id"]: r["group_id"] for r in near_dup.near_duplicates(docs).collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) == 119 and [(a, b) for a, b in pairs if group[a] != group[b]] == []
+    assert all(group[i] == i for i in range(120, 360))
+
+
 def test_forest_joins_labels():
     h = np.arange(100, dtype="<u8")
     vec = lambda a, z: h[a:z].tobytes() + np.ones(z - a, "<f4").tobytes()
