@@ -99,6 +99,18 @@ def test_language_scores(docs, none):
     assert attention_lm.score_language(none, queries.tokenizer_path(), small).count() == 0
 
 
+def test_language_scores_learn_from_every_training_text(spark):
+    words = "time people water house night world story river money paper".split()
+    rng = np.random.default_rng(0)
+    scores = []
+    for mix in (lambda w: w, rng.permutation):
+        rows = [(i, " ".join(words * 30 if attention_lm.held_out(i) else mix(words * 30))) for i in range(200)]
+        # none of them is among the documents that the weights start from
+        got = attention_lm.score_language(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), attention_lm.Settings(fit_docs=0, later_rate=0.006)).collect()
+        scores.append(np.mean([r["score"] for r in got if r["held_out"]]))
+    assert scores[0] > 0.9 * scores[1]
+
+
 def test_attention_probabilities_sum_to_one():
     s = attention_lm.Settings(classes=4, members=4, block=4)
     symbols = attention_lm.Symbols(np.arange(41), s)
