@@ -6,6 +6,7 @@ from refloom.functions import jsontext, matching
 from refloom.functions.similarity import indel_ratio
 from refloom.operators import evaluate, locate, records
 from refloom.sources import files, providers, tei
+from refloom.streaming import jobs
 
 
 def one(spark, value, column, kind="string"):
@@ -90,3 +91,9 @@ def test_sections_and_batches(spark):
     sizes = lambda d: sorted((r["batch"], r["count"]) for r in d.groupBy("batch").count().collect())
     assert sizes(records.merged_batches(df, "g", "id", 5, 3)) == [(0, 5), (1, 6)] and sizes(records.batches(df, "g", "id", 5)) == [(0, 5), (1, 5), (2, 1)]
     assert records.ratio_split(df, "g", "id", 0.3).where("first_part").count() == 3
+
+
+def test_job_state_counts_stages_exactly(spark):
+    rows = [(j, f"stage{k % n}", f"2024-01-01 00:{k // 60:02}:{k % 60:02}", k) for j, n in ((1, 300), (2, 700), (3, 1)) for k in range(800)] + [(3, None, "2024-01-01 01:00:00", 900)]
+    events = spark.createDataFrame(rows, "job long, stage string, ts string, event_id long")
+    assert {r["job"]: r["n_stages"] for r in jobs.job_state(events).collect()} == {1: 300, 2: 700, 3: 1}
