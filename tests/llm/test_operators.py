@@ -1,5 +1,6 @@
 """Every operator on a small table with nulls, empty, long and repeated texts, ties and clashing columns, and on no rows."""
 
+import base64
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 
 from refloom.llm import attention_lm, decontamination, licenses, line_dedup, mixing, near_dup, quality, queries, rans, toxicity, url_rules
 from verify import compare, views
@@ -194,6 +196,18 @@ def test_quality(docs, none):
         assert quality.repeated_window_words(words) == len(hit)
 
 
+def test_quality_of_encoded_text():
+    encoded = base64.b64encode(np.random.default_rng(2).bytes(20_000))
+    words = np.random.default_rng(3).permutation([f"{a}{b}" for a in "ab bo cer di el fun gra".split() for b in "and is or ment ing tion us".split()] * 60)
+    prose = " ".join(words.tolist()).encode()
+    judge = lambda text: quality.measure(text, quality.Bands(), zstandard.ZstdCompressor(level=3))[-3:]
+    for n in (520, 1000, 2048, 3000, 4096, 8000):
+        assert judge(encoded[:n])[2] == "incompressible" and judge(prose[:n])[2] == ""
+    assert judge(prose[:4096] + encoded[:3000]) == (2, 1, "")
+    assert judge(prose[:4096] + encoded[:8000])[:2] == (3, 2) and judge(prose[:4096] + encoded[:8000])[2] != ""
+    assert judge(prose[:8192] + encoded[:4096]) == (3, 1, "")
+
+
 def test_line_dedup(docs, none):
     rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
     assert rows[9]["kept_text"] == "short\n" and rows[9]["n_dropped"] == 2 and rows[10]["kept_text"] == ""
