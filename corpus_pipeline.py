@@ -12,29 +12,34 @@ from refloom.llm.queries import tokenizer_path
 
 
 def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """docs less the ids of decisions, null-safe; rows that share an id share its decision."""
-    ids = decisions.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    """docs less the ids and texts of decisions, null-safe; other texts of such an id stay."""
+    gone = decisions.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network predicts to be toxic go."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, write_shared(scored.where("predicted = 1").select("doc_id"), "toxic"))
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), hashed=True)
+    return _without(docs, write_shared(scored.where("predicted = 1").select("doc_id", "text_hash"), "toxic"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays; of rows with that id and one text, one row."""
-    found = near_dup.near_duplicates(docs)
-    stays = write_shared(found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy(F.col("doc_id").alias("__stays")).agg(F.count(F.lit(1)).alias("n")), "kept-ids")
-    kept = docs.join(stays.select("__stays"), docs["doc_id"].eqNullSafe(F.col("__stays")), "left_semi")
+    """Of each group of near duplicates one row stays, that of the smallest id, null the last; of texts that share it, the first
+    by a hash. Rows are told apart by id and text, as ids can be null or repeat."""
+    place = F.xxhash64(docs["doc_id"], docs["text"])
+    found = near_dup.near_duplicates(docs.select(place.alias("doc_id"), "text"))
+    rows = found.groupBy(F.col("doc_id").alias("place"), "group_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = docs.select(place.alias("place"), "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "n")).alias("first")
+    stays = write_shared(rows.join(ids, "place").groupBy("group_id").agg(first).select(F.col("first.place").alias("__stays"), F.col("first.n").alias("n")), "kept-rows")
+    kept = docs.join(stays.select("__stays"), place == F.col("__stays"), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if stays.where("n > 1").limit(1).count() else kept
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontamination.contaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, write_shared(found.where(F.size("hit_words") > 0).select("doc_id"), "contaminated"))
+    return _without(docs, write_shared(found.where(F.size("hit_words") > 0).select("doc_id", "text_hash"), "contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -248,3 +248,55 @@ def test_pipeline(spark):
         left = stage(spark, left, SF)
         assert left.columns == docs.columns
     assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in left.select("doc_id").collect())
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    def own(name, n=40):
+        return [f"{name}{k}" for k in range(n)]
+
+    item = own("item", 20)
+    copy = own("near", 100)
+    rows = [
+        (None, own("a")), (None, own("b") + item), (7, own("c")), (7, item + own("d")), (8, own("e")),
+        (None, copy), (1, copy + ["end"]), (9, own("f")), (9, copy[:-1]), (None, own("g")), (None, own("g")), (None, own("g") + ["more"]),
+        (5, own("h")), (5, own("h") + ["last"]),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    windows = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    clean = Counter((i, " ".join(w)) for i, w in rows if not windows(w, 10) & windows(item, 10))
+    assert Counter(map(tuple, corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect())) == clean
+    group = list(range(len(rows)))
+    for a, (_, v) in enumerate(rows):
+        for b, (_, w) in enumerate(rows[:a]):
+            x, y = windows(v, 5), windows(w, 5)
+            if len(x & y) >= 0.8 * len(x | y):
+                group = [group[b] if g == group[a] else g for g in group]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    place = {(i, " ".join(w)): g for (i, w), g in zip(rows, group, strict=True)}
+    assert sorted(place[tuple(r)] for r in kept) == sorted(set(group))
+    for r in kept:
+        ids = [i for (i, _), g in zip(rows, group, strict=True) if g == place[tuple(r)] and i is not None]
+        assert r["doc_id"] == min(ids, default=None)
+
+
+def test_pipeline_drops_toxic_rows_only(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(None, "x bad"), (None, "fine"), (3, "bad"), (3, "good"), (4, None), (4, "bad y"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    class Words:
+        def __init__(self, *_):
+            pass
+
+        def score(self, texts):
+            return [float(b"bad" in t.split()) for t in texts]
+
+    monkeypatch.setattr(toxicity, "fitted", lambda *_: (1, 0.0))
+    monkeypatch.setattr(toxicity, "Scorer", Words)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, *_: spark.createDataFrame([], "doc_id long, toxic int"))
+    kept = Counter(map(tuple, corpus_pipeline.drop_toxic(spark, docs, "").collect()))
+    assert kept == Counter(r for r in rows if "bad" not in (r[1] or "").split())
