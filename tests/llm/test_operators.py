@@ -300,3 +300,13 @@ def test_pipeline_drops_toxic_rows_only(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "table", lambda spark, *_: spark.createDataFrame([], "doc_id long, toxic int"))
     kept = Counter(map(tuple, corpus_pipeline.drop_toxic(spark, docs, "").collect()))
     assert kept == Counter(r for r in rows if "bad" not in (r[1] or "").split())
+
+
+def test_pipeline_mixes_every_row(spark):
+    import corpus_pipeline
+
+    rows = [(None if k % 7 == 0 else k % 20, None if k % 11 == 0 else f"text {k % 30}", None if k % 13 == 0 else f"s{k % 3}") for k in range(120)]
+    # rows that share id and text have one source
+    rows = list({r[:2]: r for r in rows}.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert Counter(map(tuple, corpus_pipeline.mix_sources(spark, docs, "").collect())) == Counter(rows)
