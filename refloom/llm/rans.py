@@ -81,7 +81,7 @@ class Frequencies:
         return out
 
 
-def encode_block(ids: np.ndarray, docs: list[tuple[int | None, int]], table: Frequencies, lanes: int = 512, segment_rows: int = 128) -> bytes:
+def encode_block(ids: np.ndarray, docs: list[tuple[int | None, int]], table: Frequencies, lanes: int = 2048, segment_rows: int = 64) -> bytes:
     """ids: all ids of the documents; docs: (id, number of ids) of each."""
     n = len(ids)
     lanes = max(1, min(lanes, -(-n // 32)))
@@ -178,67 +178,93 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class WordTokens:
-    """Ids of texts from ids of their words. No match of the tokenizer's splitter crosses ASCII whitespace and its
-    normaliser maps characters one by one around it, so a text's ids are those of its words in a row. At most about `keep`
-    words are known at a time: beyond, those met once are forgotten, and the rarer half of the others.
+BLANK, LETTER, SYMBOL, DIGIT, OTHER = 0, 1, 2, 4, 8
+LEAD = 16
+SYMBOLS = bytes(b for b in range(33, 127) if b != 39 and not bytes([b]).isalnum())
+
+#: By byte: ASCII whitespace, letters, symbols other than the apostrophe, digits; the first bytes of U+00C0 to U+017F; others.
+BYTE_CLASSES = bytes(
+    BLANK if b == 32 or 9 <= b <= 13 else OTHER if b < 33 or b == 39 or b == 127 else DIGIT if 48 <= b <= 57
+    else LETTER if 65 <= b <= 90 or 97 <= b <= 122 else SYMBOL if b < 128 else LEAD if 0xC3 <= b <= 0xC5 else OTHER
+    for b in range(256)
+)
+
+
+def split_pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(codes of all pieces, pieces of each text, the distinct pieces that codes name). Texts are cut at ASCII whitespace and
+    where letters, symbols and digits meet, each of them ASCII (or, for letters, of U+00C0 to U+017F): places that no match of the
+    tokenizer's splitter crosses. Next to apostrophes and other characters, and in texts that may hold special tokens, there is no cut."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    # a blank before the first and after the last byte
+    cls = np.zeros(len(data) + 1, np.uint8)
+    cls[1:] = np.frombuffer(data.tobytes().translate(BYTE_CLASSES), np.uint8)
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    lead = np.flatnonzero(cls == LEAD)
+    if len(lead):
+        first, second = data[lead - 1], data[np.minimum(lead, len(data) - 1)]
+        # not the signs for times and division, nor the letter whose lower case has a combining mark
+        whole = ((second & 0xC0) == 0x80) & ~((first == 0xC3) & ((second == 0x97) | (second == 0xB7))) & ~((first == 0xC4) & (second == 0xB0))
+        cls[lead] = np.where(whole, LETTER, OTHER)
+        cls[lead[whole] + 1] = LETTER
+    for k, t in enumerate(texts):
+        if b"<|" in t:
+            part = cls[bounds[k] + 1 : bounds[k + 1] + 1]
+            part[part != BLANK] = OTHER
+    either = cls[1:] | cls[:-1]
+    edge = np.flatnonzero((cls[1:] != cls[:-1]) & (either <= OTHER))  # byte k is at k + 1 in cls
+    starts, ends = edge[cls[edge + 1] != BLANK], edge[cls[edge] != BLANK]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    packed = data[cls[1:] != BLANK]
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+    coded = pieces.dictionary_encode()
+    counts = np.diff(np.searchsorted(starts, bounds))
+    return np.asarray(coded.indices, dtype=np.int64), counts, coded.dictionary.to_pylist()
+
 
-    A word of letters that the normaliser leaves alone, with or without one mark of TAIL, goes to the merges directly, many
-    words in one call, if the tokenizer is of the kind whose ids show where words end; others go through all of it."""
+class WordTokens:
+    """Ids of texts from ids of their pieces, each learned once. No match of the tokenizer's splitter crosses the cuts of
+    split_pieces and its normaliser maps characters one by one around them, so a text's ids are those of its pieces in a row.
+    At most about `keep` pieces are known at a time: beyond, those met once are forgotten, and the rarer half of the others.
 
-    TAIL = b".,;:!?"
+    A piece of lower-case ASCII letters or of ASCII symbols, or of letters that the normaliser leaves alone, is one match and goes
+    to the merges directly, if the tokenizer is of the kind that marks ends of words; others go through all of it."""
 
     def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+        self.direct = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
+        self.characters = _byte_characters()
         self.keep = keep
         self.known: dict[bytes, int] = {}
         self.starts, self.sizes, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.direct = bool(suffix)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, k in self.tokenizer.get_vocab().items() if suffix else ():
-            self.ends[k] = token.endswith(suffix)
-        self.characters = _byte_characters()
 
-    def _pieces(self, word: bytes) -> str | None:
-        """The word's pieces as the merges take them, between blanks; None if it isn't of the simple kind."""
-        core, tail = (word[:-1], " " + word[-1:].decode()) if word[-1:] in self.TAIL and len(word) > 1 else (word, "")
-        if core.isascii():
-            return core.decode() + tail if core.isalpha() and core.islower() else None
-        text = core.decode("utf-8", "replace")
+    def _match(self, piece: bytes) -> str | None:
+        """The piece as the merges take it, if it is one match that the normaliser leaves alone; else None."""
+        if piece.isascii():
+            one = piece.isalpha() and piece.islower() or not piece.translate(None, SYMBOLS)
+            return piece.decode() if one else None
+        text = piece.decode("utf-8", "replace")
         if text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text):
-            return core.decode("latin-1").translate(self.characters) + tail
+            return piece.decode("latin-1").translate(self.characters)
         return None
 
-    def _word_ids(self, words: list[bytes], together: int = 256) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(the words in another order, ids of all, how many of each)."""
-        pieces = [self._pieces(w) for w in words] if self.direct else [None] * len(words)
-        simple = [k for k, x in enumerate(pieces) if x is not None]
-        texts = [pieces[k] for k in simple]
-        ids = [e.ids for e in self.merges.encode_batch_fast([" ".join(texts[k : k + together]) for k in range(0, len(texts), together)], add_special_tokens=False)]
-        flat = np.array([i for x in ids for i in x], np.uint32)
-        ends = np.flatnonzero(self.ends[flat]) + 1
-        last = np.cumsum([1 + (" " in t) for t in texts], dtype=np.int64) - 1  # each piece ends once
-        if len(ends) != (last[-1] + 1 if len(last) else 0):
-            raise AssertionError("ids do not show where words end")
-        sizes = np.diff(ends[last], prepend=0)
-        others = [k for k, x in enumerate(pieces) if x is None]
-        more = [e.ids for e in self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in others], add_special_tokens=False)]
-        flat = np.concatenate([flat, np.array([i for x in more for i in x], np.uint32)])
-        return [words[k] for k in simple + others], flat, np.concatenate([sizes, np.array([len(x) for x in more], np.int64)])
-
     def _learn(self, new: list[bytes]) -> None:
-        if self.known and len(self.known) + len(new) > self.keep:
-            self._forget()
-        new, flat, sizes = self._word_ids(new)
+        matches = list(map(self._match, new)) if self.direct else [None] * len(new)
+        merges = self.merges
+        ids = [[t.id for t in merges(m)] if m is not None else None for m in matches]
+        others = [k for k, x in enumerate(ids) if x is None]
+        for k, e in zip(others, self.tokenizer.encode_batch_fast([new[k].decode("utf-8", "replace") for k in others], add_special_tokens=False), strict=True):
+            ids[k] = e.ids
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
         self.starts, self.sizes = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes]), np.concatenate([self.sizes, sizes])
-        self.flat, self.uses = np.concatenate([self.flat, flat]), np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def _forget(self) -> None:
         stay = np.flatnonzero(self.uses > 1)
@@ -252,15 +278,23 @@ class WordTokens:
         self.flat = self.flat[np.repeat(self.starts[stay] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
         self.starts, self.sizes, self.uses = ends - sizes, sizes, self.uses[stay] // 2
 
+    def _places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where each piece is known; new ones are learned."""
+        find = lambda: np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        known = find()
+        if self.known and len(self.known) + int((known < 0).sum()) > self.keep:
+            self._forget()  # some that were found, too
+            known = find()
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            known[missing] = len(self.sizes) + np.arange(len(missing))
+            self._learn([pieces[k] for k in missing.tolist()])
+        return known
+
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        codes, counts, words = common.split_words([_lower(t) for t in texts])
-        found = list(map(self.known.get, words, itertools.repeat(-1)))
-        for learn in (self._learn, self._learn_more):  # while it learns it may forget some words
-            if new := [w for w, k in zip(words, found, strict=True) if k < 0]:
-                learn(new)
-                found = list(map(self.known.get, words, itertools.repeat(-1)))
-        known = np.array(found, np.int64)
-        self.uses[known] += np.bincount(codes, minlength=len(words))
+        codes, counts, pieces = split_pieces([_lower(t) for t in texts])
+        known = self._places(pieces)
+        self.uses[known] += np.bincount(codes, minlength=len(pieces))
         at = known[codes]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
@@ -269,13 +303,6 @@ class WordTokens:
         end = np.array([end_id], np.uint32)
         return [np.concatenate([ids[bounds[k] : bounds[k + 1]], end]) for k in range(len(texts))]
 
-    def _learn_more(self, new: list[bytes]) -> None:
-        keep, self.keep = self.keep, len(self.known) + len(new)
-        try:
-            self._learn(new)
-        finally:
-            self.keep = keep
-
 
 def word_tokens(path: str) -> WordTokens:
     """One for each worker process, which then knows the words of its earlier tasks."""
