@@ -31,10 +31,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _HALF)
 
 
-def _piece_hashes(data: bytes) -> np.ndarray:
+def _piece_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words, where they begin)."""
     b = np.frombuffer(data, np.uint8)
     if not len(b):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     power, inverse = _power_tables(len(b) + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(b * power[: len(b)], out=sums[1:])
@@ -42,22 +43,32 @@ def _piece_hashes(data: bytes) -> np.ndarray:
     inside[1:-1] = b != 32
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[::2], edges[1::2]
-    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts]), starts
 
 
 def word_hashes(text: bytes, words: bytes = common.ALNUM_WORDS) -> np.ndarray:
     """Hashes of the words in order. words: a table that maps bytes, those between words to a space; by default words are
     A-Z lower-cased runs of 0-9, a-z and characters above 0x7F."""
-    data = text.translate(words)
+    return _hashes_at(text.translate(words))[0]
+
+
+def _hashes_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(data) <= PIECE:
         return _piece_hashes(data)
     parts, at = [], 0
     while at < len(data):
         end = data.find(b" ", at + PIECE)
         end = len(data) if end < 0 else end
-        parts.append(_piece_hashes(data[at:end]))
+        hashes, starts = _piece_hashes(data[at:end])
+        parts.append((hashes, starts + at))
         at = end
-    return np.concatenate(parts)
+    return np.concatenate([h for h, _ in parts]), np.concatenate([x for _, x in parts])
+
+
+def words_of_all(texts: list[bytes], words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(word_hashes of all texts in a row, how many words each has)."""
+    hashes, starts = _hashes_at(b"".join(t + b" " for t in texts).translate(words))
+    return hashes, np.diff(np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts])))
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -53,6 +53,37 @@ def test_token_files(spark, docs, none):
     assert rans.token_files(none, queries.tokenizer_path()).count() == 0
 
 
+def test_token_files_of_many_blocks_and_parts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    rng = np.random.default_rng(3)
+    rows = [(int(i), " ".join(f"w{k}" for k in rng.integers(0, 50, rng.integers(0, 60)))) for i in rng.permutation(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rans.write_tokens(docs, f"{tmp_path}/t", queries.tokenizer_path(), block_tokens=500, file_tokens=4000)
+    blocks = spark.read.parquet(f"{tmp_path}/t/blocks").collect()
+    assert len({b["part"] for b in blocks}) > 3 and len(blocks) > 20
+    got = sorted(rans.read_tokens(spark, f"{tmp_path}/t", with_ids=True).collect(), key=lambda r: r["doc_id"])
+    at = 0
+    for r, (i, t) in zip(got, sorted(rows), strict=True):
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        assert (r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) == (i, at, len(ids), ids.tobytes())
+        at += len(ids)
+
+
+def test_tokens_of_odd_strings():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    encoder = rans.WordTokens(queries.tokenizer_path(), keep=3000)
+    rng = np.random.default_rng(6)
+    signs = [*"abzAZ\'\'.,;:!?\"#*<>|=&$-_()019  \t\n\r\x0b\x0c\x00\x1c\x1f\x7f\x85\xa0×÷éÉßİıŉſÅ“”—…ªº²½΄ΣσςЖ汉字ﬁ😀", "\u0301", "\u0338", "\u0307", "<|endoftext|>", "<|", "|>", "\'s", "\'LL", "e\u0301"]
+    for _ in range(40):
+        texts = ["".join(rng.choice(signs, rng.integers(0, 15))) for _ in range(200)]
+        want = [e.ids + [2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in texts], 2)] == want
+
+
 def test_damaged_block():
     ids = np.arange(5000) % 300
     table = rans.Frequencies(np.bincount(ids))
@@ -89,15 +120,15 @@ def test_mixing_plan_places_every_block():
 
 
 def test_language_scores(docs, none):
-    small = attention_lm.Settings(fit_blocks=256, fit_docs=50)
+    small = attention_lm.Settings(fit_blocks=256, start_pieces=50)
     rows = attention_lm.score_language(docs, queries.tokenizer_path(), small).collect()
     words = lambda t: (t or "").encode().lower().split() + [None]
-    counts = Counter(w for i, t in TEXTS if i is None or zlib.crc32(str(i).encode()) % 5 != 1 for w in words(t))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    counts = Counter(w for i, t in TEXTS if not held(i) for w in words(t))
     n, v = sum(counts.values()), len(counts)
-    assert len(rows) == len(TEXTS) and {r["train_tokens"] for r in rows} == {n}
-    for r in rows:
-        base = [sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words(t)) for i, t in TEXTS if i == r["doc_id"]]
-        assert min(abs(r["base_score"] - b) for b in base) < 1e-6 * abs(r["base_score"]) and r["score"] < 0
+    assert {r["train_tokens"] for r in rows} == {n} and all(r["score"] < 0 and np.isfinite(r["score"]) for r in rows)
+    want = Counter((i, held(i), len(words(t)), sum(w in counts for w in words(t)), round(float(sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words(t))), 2)) for i, t in TEXTS)
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 2)) for r in rows) == want
     assert attention_lm.score_language(none, queries.tokenizer_path(), small).count() == 0
 
 
@@ -107,20 +138,85 @@ def test_language_scores_learn_from_every_training_text(spark):
     scores = []
     for mix in (lambda w: w, rng.permutation):
         rows = [(i, " ".join(words * 30 if attention_lm.held_out(i) else mix(words * 30))) for i in range(200)]
-        # none of them is among the documents that the weights start from
-        got = attention_lm.score_language(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), attention_lm.Settings(fit_docs=0, later_rate=0.006)).collect()
+        # the weights start from none of them
+        settings = attention_lm.Settings(start_pieces=0, every=1, later_rate=0.006, counted=0.0)
+        got = attention_lm.score_language(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), settings).collect()
         scores.append(np.mean([r["score"] for r in got if r["held_out"]]))
     assert scores[0] > 0.9 * scores[1]
 
 
+TINY = attention_lm.Settings(classes=4, members=4, block=4, keys=3, hidden=5, kinds=2, batch=8)
+
+
+def tiny_model(seed=0):
+    symbols = attention_lm.Symbols(np.arange(41), TINY)
+    model = attention_lm.Model(TINY, symbols, np.ones((16, 16)))
+    rng = np.random.default_rng(seed)
+    model.p = {k: rng.normal(size=v.shape).astype("f4") for k, v in model.p.items()}
+    return symbols, model
+
+
 def test_attention_probabilities_sum_to_one():
-    s = attention_lm.Settings(classes=4, members=4, block=4)
-    symbols = attention_lm.Symbols(np.arange(41), s)
-    model = attention_lm.Model(s, symbols, np.ones((16, 16)))
-    h = np.tile(np.random.default_rng(0).normal(size=(1, s.hidden)).astype("f4"), (16, 1))
+    symbols, model = tiny_model()
+    h = np.tile(np.random.default_rng(0).normal(size=(1, TINY.hidden)).astype("f4"), (16, 1))
     p = np.exp(model.log_probability(h, np.arange(16)))
     assert abs(p.sum() - 1) < 1e-5
     assert abs(sum(p[symbols.of[i]] * 10 ** symbols.inside[i] for i in range(41)) - 1) < 1e-5
+    counted = attention_lm.Counted(np.array([0, 5, 17, 300]), np.array([3, 1, 2, 9], "f4"), np.arange(16) % 2, symbols, TINY)
+    sums = sum(counted.probability(np.full((1, 8), 3), np.full((1, 4), t), 4)[0, 0] for t in range(16))
+    assert abs(sums - 1) < 0.01  # numbers are rounded to eight bits
+
+
+def test_attention_scores_against_a_loop_over_tokens():
+    symbols, model = tiny_model()
+    p, b = {k: v.astype(float) for k, v in model.p.items()}, TINY.block
+    rng = np.random.default_rng(4)
+    cells = rng.choice(2 * 256, 90, replace=False)
+    kinds = rng.integers(0, 2, 16)
+    counts = rng.integers(1, 9, 90)
+    counted = attention_lm.Counted(cells, counts.astype("f4"), kinds, symbols, TINY)
+    full = np.zeros(512)
+    full[cells] = counts
+    full = full.reshape(2, 16, 16)
+    pairs = (full.sum(0) + 20 * symbols.share) / (full.sum(0).sum(1, keepdims=True) + 20)
+    full = (full + 20 * pairs) / (full.sum(2, keepdims=True) + 20)
+    texts = [rng.integers(0, 40, n) for n in (0, 1, 3, 4, 5, 11, 30)]
+    got = attention_lm.score_texts(model, symbols, counted, [np.append(t, 40) for t in texts])
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for t, score in zip(texts, got, strict=True):
+        seq = [symbols.end, *symbols.of[t]]
+        total = sum(symbols.inside[i] for i in t)
+        for k in range(len(seq)):
+            target = symbols.of[t[k]] if k < len(t) else symbols.end
+            first = max(0, (k // b - 1) * b)
+            keys = seq[first : k + 1]
+            weight = softmax(np.array([p["q"][seq[k]] @ p["k"][x] + p["far"][len(keys) - 1 - j] for j, x in enumerate(keys)]))
+            mean = sum(w * p["v"][x] for w, x in zip(weight, keys, strict=True))
+            before = seq[k - 1] if k else symbols.end
+            h = np.tanh(p["now"][seq[k]] + p["before"][before] + mean @ p["out"])
+            c, m = model.class_of[target], model.member_of[target]
+            q = softmax(h @ p["wc"] + p["bc"])[c] * softmax(h @ p["wm"][c] + p["bm"][c])[m]
+            total += np.log10(0.8 * q + 0.2 * full[kinds[before], seq[k], target])
+        assert abs(total - score) < 2e-3 * (1 + abs(total))
+
+
+def test_attention_gradients():
+    symbols, model = tiny_model(1)
+    model.p = {k: v.astype(float) for k, v in model.p.items()}
+    rng = np.random.default_rng(2)
+    blocks = attention_lm.Blocks([rng.integers(0, 16, n) for n in (3, 9, 14)], symbols.end, TINY.block)
+    blocks = attention_lm.Blocks.unpacked(blocks.packed(np.arange(len(blocks.owner))).tobytes(), TINY.block)
+    args = blocks.window, blocks.valid, blocks.target, blocks.real
+    g, _ = model.gradients(*args)
+    for name, v in model.p.items():
+        for at in rng.choice(v.size, min(v.size, 6), replace=False).tolist():
+            place = np.unravel_index(at, v.shape)
+            sides = []
+            for step in (1e-5, -1e-5):
+                v[place] += step
+                sides.append(model.gradients(*args)[1])
+                v[place] -= step
+            assert abs((sides[0] - sides[1]) / 2e-5 - g[name][place]) < 1e-3, name
 
 
 def test_toxicity(spark, docs, none):
