@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +30,22 @@ def indel_ratio(a: str | None, b: str | None) -> float:
     return 100.0 * 2 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance, row by row over the shorter string."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    codes = np.array([ord(c) for c in b])
+    steps = np.arange(len(b) + 1)
+    row = steps.copy()
+    for i, c in enumerate(a, 1):
+        best = np.minimum(row[:-1] + (codes != ord(c)), row[1:] + 1)
+        # what comes from the left grows by one a step: a running minimum after the steps are taken off
+        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
+    return int(row[-1])
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -103,6 +103,16 @@ def cue_hits(c: Column) -> Column:
     return F.regexp_count(F.lower(c), F.lit(CUES))
 
 
+def lexical_bonus(c: Column) -> Column:
+    """0.02 for each cue, 0.1 at most; 0 for null."""
+    return F.least(F.lit(0.1), F.coalesce(cue_hits(c), F.lit(0)) * 0.02)
+
+
+def capped(c: Column, chars: int = 100_000) -> Column:
+    """The first so many characters: what a prompt takes of a document."""
+    return F.substring(c, 1, chars)
+
+
 def split_pages(c: Column, extractor: str | None = None) -> Column:
     """Pages between separator lines; one page for extractors without them; none of an empty text."""
     pages = F.array(c) if extractor == "mineru" else F.split(c, "\n-----\n")

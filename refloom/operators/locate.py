@@ -1,70 +1,147 @@
-"""Sections of references in documents: cue scores by line, a threshold at the largest gap, growth around the best line."""
+"""Sections of references in documents. A document is one row: scores, thresholds and growth are array functions over its lines or
+chunks, so that nothing but the document's own row is read and no text is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.functions.text import cue_hits
+from refloom.functions.similarity import cosine
+from refloom.functions.text import cue_hits, lexical_bonus
 
 
-def scored_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, text, score: cue hits, five at most."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return lines.withColumn("score", F.least(cue_hits(F.col("text")), F.lit(5)))
+def line_scores(text: Column) -> Column:
+    """Cue hits of each line, five at most."""
+    return F.transform(F.split(text, "\n"), lambda x: F.least(cue_hits(x), F.lit(5)))
 
 
-def gap_threshold(lines: DataFrame, gap: int = 2) -> DataFrame:
-    """doc_id, threshold: the score after the largest drop between scores in descending order, first of equal drops, if the
-    drop exceeds gap; else 0.7 of the highest, in tenths of a unit."""
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "line")
-    drops = lines.withColumn("after", F.lead("score").over(order)).withColumn("rank", F.row_number().over(order)).withColumn("drop", F.col("score") - F.col("after"))
-    return drops.groupBy("doc_id").agg(F.max("score").alias("best"), F.max(F.struct("drop", (-F.col("rank")).alias("first"), "after")).alias("top")).select("doc_id", F.when(F.col("top.drop") > gap, F.col("top.after") * 10).otherwise(F.col("best") * 7).alias("threshold"), "best")
+def _places(xs: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(xs) - 1)
 
 
-def locate_sections(docs: DataFrame, slack: int = 1) -> DataFrame:
-    """doc_id, n_lines, first_line, last_line, section: lines that reach the threshold, and those next to the best line as
-    long as none is more than slack below it. Documents without a cue have no row."""
-    lines = scored_lines(docs)
-    whole = Window.partitionBy("doc_id")
-    placed = lines.join(gap_threshold(lines), "doc_id").where("best > 0").withColumn("best_line", F.min(F.when(F.col("score") == F.col("best"), F.col("line"))).over(whole))
-    broken = (F.col("score") < F.col("best") - slack).cast("int")
-    after = F.sum(F.when(F.col("line") >= F.col("best_line"), broken).otherwise(0)).over(whole.orderBy("line"))
-    before = F.sum(F.when(F.col("line") <= F.col("best_line"), broken).otherwise(0)).over(whole.orderBy(F.desc("line")))
-    near = F.when(F.col("line") >= F.col("best_line"), F.col("after") == 0).otherwise(F.col("before") == 0)
-    chosen = placed.withColumn("after", after).withColumn("before", before).where(near | (F.col("score") * 10 >= F.col("threshold")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    return chosen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("line").alias("first_line"), F.max("line").alias("last_line"), text.alias("section"))
-
+def _largest_drop(scores: Column) -> tuple[Column, Column]:
+    """(the largest drop between neighbours of the scores in descending order, the score after the first drop of that size)."""
+    ranked = F.sort_array(scores, asc=False)
+    drops = F.zip_with(F.slice(ranked, F.lit(1), F.size(ranked) - 1), F.slice(ranked, F.lit(2), F.size(ranked) - 1), lambda a, b: a - b)
+    largest = F.array_max(drops)
+    return largest, F.get(ranked, F.array_position(drops, largest).cast("int"))
 
-def max_cosine(vectors: DataFrame, queries: DataFrame, score: Column) -> DataFrame:
-    """The highest similarity of each vector to a fixed, small set of query vectors."""
-    return vectors.crossJoin(F.broadcast(queries)).groupBy("vec_id").agg(F.max(score).alias("score"))
 
+def _grown(scores: Column, best: Column, least: Column) -> tuple[Column, Column]:
+    """The places around the place `best` next to which scores fall below `least`: (the last before it, the first after it)."""
+    low = F.filter(_places(scores), lambda i: F.get(scores, i) < least)
+    left = F.coalesce(F.array_max(F.filter(low, lambda i: i < best)), F.lit(-1))
+    return left, F.coalesce(F.array_min(F.filter(low, lambda i: i > best)), F.size(scores))
 
-#: Fixed value: headings of reference sections, after the marks of a Markdown heading.
-HEADINGS = r"(?i)^#{1,6}\s+(references|bibliography|works cited|literature|literaturverzeichnis|bibliographie|références|referencias|bibliografía|bibliografia|riferimenti|referências)\s*:?\s*$"
 
+def gap_threshold(docs: DataFrame, gap: int = 2) -> DataFrame:
+    """doc_id, threshold, best: the score after the largest drop between the lines' scores in descending order, first of equal
+    drops, if the drop exceeds gap; else 0.7 of the highest, in tenths of a unit. Null texts have no row."""
+    scored = docs.where("text IS NOT NULL").select("doc_id", line_scores(F.col("text")).alias("scores"))
+    drop, after = _largest_drop(F.col("scores"))
+    best = F.array_max("scores")
+    return scored.select("doc_id", F.when(F.coalesce(drop > gap, F.lit(False)), after * 10).otherwise(best * 7).alias("threshold"), best.alias("best"))
 
-def heading_section(docs: DataFrame) -> DataFrame:
-    """doc_id, line, section: the lines under the first heading of references, up to the next heading of its level or a higher
-    one. Documents without one have no row."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("level", F.length(F.regexp_extract("text", r"^(#{1,6})\s", 1)))
-    first = lines.where(F.col("text").rlike(HEADINGS)).groupBy("doc_id").agg(F.min(F.struct("line", "level")).alias("head"))
-    under = lines.join(first, "doc_id").where(F.col("line") > F.col("head.line"))
-    ended = F.max(((F.col("level") > 0) & (F.col("level") <= F.col("head.level"))).cast("int")).over(Window.partitionBy("doc_id").orderBy("line"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    return under.withColumn("ended", ended).where("ended = 0").groupBy("doc_id").agg(F.first("head.line").alias("line"), text.alias("section"))
 
-
-def adaptive_threshold(lines: DataFrame, least: int = 2) -> DataFrame:
+def locate_sections(docs: DataFrame, slack: int = 1, gap: int = 2) -> DataFrame:
+    """doc_id, n_lines, first_line, last_line, section: lines that reach gap_threshold, and those next to the best line as
+    long as none is more than slack below it. Documents without a cue have no row."""
+    scored = docs.where("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("lines"), line_scores(F.col("text")).alias("scores"))
+    drop, after = _largest_drop(F.col("scores"))
+    best = F.array_max("scores")
+    scored = scored.select("*", best.alias("best"), F.when(F.coalesce(drop > gap, F.lit(False)), after * 10).otherwise(best * 7).alias("threshold")).where("best > 0")
+    scored = scored.withColumn("at", F.array_position("scores", F.col("best")).cast("int") - 1)
+    left, right = _grown(F.col("scores"), F.col("at"), F.col("best") - slack)
+    scored = scored.select("*", left.alias("left"), right.alias("right"))
+    wanted = lambda i: ((i > F.col("left")) & (i < F.col("right"))) | (F.get(F.col("scores"), i) * 10 >= F.col("threshold"))
+    picked = scored.select("doc_id", "lines", F.filter(_places(F.col("scores")), wanted).alias("picked"))
+    return picked.select(
+        "doc_id", F.size("picked").cast("long").alias("n_lines"), F.array_min("picked").alias("first_line"), F.array_max("picked").alias("last_line"),
+        F.array_join(F.transform("picked", lambda i: F.get(F.col("lines"), i)), "\n").alias("section"),
+    )
+
+
+def adaptive_threshold(docs: DataFrame, least: int = 2) -> DataFrame:
     """doc_id, n_chosen, threshold: lines of at least 0.7 of the highest score; 0.5 if those are fewer than `least`, 0.85 if more than
-    half of the lines; at most half of the lines, the first by score and place. Documents whose best score is 0 have no row."""
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "line")
-    ranked = lines.withColumn("best", F.max("score").over(Window.partitionBy("doc_id"))).withColumn("rank", F.row_number().over(order)).where("best > 0")
-    at = lambda share: F.count_if(F.col("score") * 100 >= F.col("best") * share)
-    sums = ranked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), at(70).alias("n70"), at(50).alias("n50"), at(85).alias("n85"))
+    half of the lines; at most half of the lines. Documents whose best score is 0 have no row."""
+    scored = docs.where("text IS NOT NULL").select("doc_id", line_scores(F.col("text")).alias("scores"))
+    scored = scored.select("*", F.array_max("scores").alias("best")).where("best > 0")
+    at = lambda share: F.size(F.filter("scores", lambda s: s * 100 >= F.col("best") * share)).cast("long")
+    sums = scored.select("doc_id", F.size("scores").cast("long").alias("n"), at(70).alias("n70"), at(50).alias("n50"), at(85).alias("n85"))
     half = F.floor(F.col("n") / 2)
     few, many = F.col("n70") < least, F.col("n70") > half
     chosen = F.when(few, F.col("n50")).when(many, F.col("n85")).otherwise(F.col("n70"))
     return sums.select("doc_id", F.least(chosen, half).alias("n_chosen"), F.when(few, 50).when(many, 85).otherwise(70).alias("threshold"))
+
+
+#: Fixed value: headings of reference sections, with the marks of a Markdown heading.
+HEADINGS = r"(?i)^#+\s*(references|bibliography|works cited|literature cited|bibliographie|literaturverzeichnis)\b"
+
+
+def heading_section(docs: DataFrame) -> DataFrame:
+    """doc_id, line, section: the first heading of references and the lines under it, up to the next heading with no more marks than
+    the first word of that heading has characters. Documents without one have no row."""
+    cut = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    cut = cut.withColumn("line", F.array_position(F.transform("lines", lambda x: x.rlike(HEADINGS)), F.lit(True)).cast("int") - 1).where("line >= 0")
+    level = F.length(F.regexp_extract(F.get("lines", F.col("line")), r"^(\S+)", 1))
+    marks = F.transform("lines", lambda x: F.length(F.regexp_extract(x, r"^(#+)\s+\S", 1)))
+    cut = cut.select("*", marks.alias("marks"), level.alias("level"))
+    after = F.array_min(F.filter(_places(F.col("lines")), lambda i: (i > F.col("line")) & F.get("marks", i).between(F.lit(1), F.col("level"))))
+    cut = cut.withColumn("after", F.coalesce(after, F.size("lines")))
+    return cut.select("doc_id", "line", F.array_join(F.slice("lines", F.col("line") + 1, F.col("after") - F.col("line")), "\n").alias("section"))
+
+
+#: Query vectors at most; they are sent to every executor.
+MOST_QUERIES = 1000
+
+
+def max_cosine(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", query: str = "query") -> DataFrame:
+    """key, score: the highest similarity of each vector to a small set of query vectors, which is checked to be small. Each vector's
+    row meets the queries in place: they are an array of one row, and nothing is shuffled."""
+    n = queries.limit(MOST_QUERIES + 1).count()
+    if n > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors")
+    gathered = queries.agg(F.collect_list(query).alias("__queries"))
+    each = vectors.crossJoin(F.broadcast(gathered))  # one row
+    return each.select(key, F.array_max(F.transform("__queries", lambda q: cosine(F.col(vector), q))).alias("score"))
+
+
+def chosen_chunks(scores: Column, gap: float = 0.1, tolerance: float = 0.03, greedy: bool = True) -> Column:
+    """Places of the chunks taken by their scores. Those from the score after the largest drop up, if the drop exceeds gap; where
+    that gives none, or more than half of all: those of at least 0.7 of the highest score, 0.5 of it if there is none, 0.85 if they
+    are too many; at most half of all, the first by score and place. greedy: and those next to the best while no score is more than
+    tolerance below it."""
+    half = F.floor(F.size(scores) / 2).cast("int")
+    drop, after = _largest_drop(scores)
+    from_ = lambda least: F.filter(_places(scores), lambda i: F.get(scores, i) >= least)
+    best = F.array_max(scores)
+    by_gap = F.when(F.coalesce(drop > gap, F.lit(False)), from_(after)).otherwise(F.array().cast("array<int>"))
+    by_share = F.when(F.size(from_(best * 0.7)) < 1, from_(best * 0.5)).when(F.size(from_(best * 0.7)) > half, from_(best * 0.85)).otherwise(from_(best * 0.7))
+    found = F.when((F.size(by_gap) > 0) & (F.size(by_gap) <= half), by_gap).otherwise(by_share)
+    by_score = F.transform(F.array_sort(F.transform(_places(scores), lambda i: F.struct((-F.get(scores, i)).alias("s"), i.alias("i")))), lambda x: x["i"])
+    found = F.when(F.size(found) > half, F.slice(by_score, F.lit(1), half)).otherwise(found)
+    if not greedy:
+        return F.array_sort(found)
+    top = F.transform(F.slice(F.array_sort(F.transform(found, lambda i: F.struct((-F.get(scores, i)).alias("s"), i.alias("i")))), 1, 1), lambda x: x["i"])
+
+    def around(i: Column) -> Column:
+        left, right = _grown(scores, i, F.get(scores, i) - tolerance)
+        return F.sequence(left + 1, right - 1)
+
+    return F.array_sort(F.array_union(found, F.flatten(F.transform(top, around))))
+
+
+def semantic_sections(chunks: DataFrame, queries: DataFrame, gap: float = 0.1, tolerance: float = 0.03, greedy: bool = True) -> DataFrame:
+    """chunks: doc_id, chunk, text, vector; queries: query (vectors). doc_id, chunks (their numbers), section: the chunks that
+    chosen_chunks takes by their highest similarity to a query plus a bonus for cues, joined by empty lines. In a document that
+    lacks a vector, those with at least half of the highest bonus; '' where there is no cue either. One document's chunks are in one
+    row."""
+    scored = max_cosine(chunks.withColumn("__key", F.struct("doc_id", "chunk", "text", "vector")), queries, "__key", "vector")
+    scored = scored.select("__key.*", F.when(F.isnan("score"), 0.0).otherwise(F.col("score")).alias("similarity"), lexical_bonus(F.col("__key.text")).alias("bonus"))
+    rows = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "text", "similarity", "bonus", F.col("vector").isNull().alias("lacks")))).alias("c"))
+    full = F.transform("c", lambda c: F.coalesce(c["similarity"], F.lit(0.0)) + c["bonus"])
+    rows = rows.select("doc_id", "c", F.exists("c", lambda c: c["lacks"]).alias("lacks"), full.alias("scores"), F.transform("c", lambda c: c["bonus"]).alias("bonuses"))
+    most = F.array_max("bonuses")
+    lexical = F.when(most > 0, F.filter(_places(F.col("bonuses")), lambda i: F.get("bonuses", i) >= most * 0.5)).otherwise(F.array().cast("array<int>"))
+    picked = rows.select("doc_id", "c", F.when(F.col("lacks"), lexical).otherwise(chosen_chunks(F.col("scores"), gap, tolerance, greedy)).alias("p"))
+    return picked.select("doc_id", F.transform("p", lambda i: F.get("c", i)["chunk"]).alias("chunks"), F.array_join(F.transform("p", lambda i: F.get("c", i)["text"]), "\n\n").alias("section"))

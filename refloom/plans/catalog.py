@@ -111,7 +111,7 @@ def ratio_indel(t):
 @query("""SELECT v.vec_id, round(max(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 20) q GROUP BY v.vec_id""")
 def semantic_max_cosine(t):
     queries = t("embeddings").where("vec_id < 20").select(F.col("embedding").alias("query"))
-    return locate.max_cosine(t("embeddings"), queries, similarity.cosine(F.col("embedding"), F.col("query"))).withColumn("score", F.round("score", 6))
+    return locate.max_cosine(t("embeddings"), queries).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH w AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS q FROM part) SELECT a.p_partkey, least(1.0, len(list_intersect(a.q, b.q)) / greatest(3, len(a.q))::DOUBLE) AS overlap FROM w a JOIN w b ON a.p_partkey + 7 = b.p_partkey""")
@@ -131,7 +131,7 @@ t AS (SELECT doc_id, best, CASE WHEN top.d > 2 THEN top.a * 10 ELSE best * 7 END
 
 @query(f"WITH {_LINES} SELECT doc_id, CAST(threshold AS INTEGER) AS threshold, CAST(best AS INTEGER) AS best FROM t")
 def gap_threshold(t):
-    return locate.gap_threshold(locate.scored_lines(t("documents"))).select("doc_id", F.col("threshold").cast("int").alias("threshold"), F.col("best").cast("int").alias("best"))
+    return locate.gap_threshold(t("documents")).select("doc_id", F.col("threshold").cast("int").alias("threshold"), F.col("best").cast("int").alias("best"))
 
 
 @query(f"""WITH {_LINES}, p AS (SELECT s.*, best, threshold, min(CASE WHEN score = best THEN line END) OVER (PARTITION BY s.doc_id) AS bl, CAST(score < best - 1 AS INTEGER) AS broken FROM scored s JOIN t ON s.doc_id = t.doc_id WHERE best > 0),

@@ -118,7 +118,7 @@ def candidate_score(t):
 
 @query("""SELECT a.o_orderkey, b.c_custkey FROM orders a JOIN customer b ON a.o_custkey = b.c_custkey""")
 def identifier_lookup(t):
-    refs = t("orders").select("o_orderkey", ids.parse_identifier(F.concat(F.lit("https://doi.org/10.1000/"), "o_custkey"), known_only=True).alias("i")).select("o_orderkey", "i.scheme", "i.normalized")
+    refs = t("orders").select("o_orderkey", ids.parse_identifier(F.concat(F.lit("https://doi.org/10.1000/"), "o_custkey"), scheme=F.lit("DOI")).alias("i")).select("o_orderkey", "i.scheme", "i.normalized")
     index = t("customer").select("c_custkey", ids.parse_identifier(F.concat(F.lit("doi: 10.1000/"), "c_custkey")).alias("i")).select("c_custkey", "i.scheme", "i.normalized")
     return refs.join(index, ["scheme", "normalized"]).select("o_orderkey", "c_custkey")
 
@@ -135,7 +135,7 @@ def title_pattern_candidates(t):
 # Sections
 
 
-@query("""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line, lang || chr(10) || '### Sub' || chr(10) || source AS section FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL""")
+@query("""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line, '## References' || chr(10) || lang || chr(10) || '### Sub' || chr(10) || source AS section FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL""")
 def heading_section(t):
     docs = t("documents").select("doc_id", F.concat("text", F.lit("\n## References\n"), "lang", F.lit("\n### Sub\n"), "source", F.lit("\n# End\nrest")).alias("text"))
     return locate.heading_section(docs)
@@ -146,7 +146,7 @@ b AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best FROM s),
 c AS (SELECT doc_id, count(*) // 2 AS half, count(*) FILTER (score * 100 >= best * 70) AS a, count(*) FILTER (score * 100 >= best * 50) AS low, count(*) FILTER (score * 100 >= best * 85) AS high FROM b WHERE best > 0 GROUP BY doc_id)
 SELECT doc_id, least(half, CASE WHEN a < 2 THEN low WHEN a > half THEN high ELSE a END) AS n_chosen, CASE WHEN a < 2 THEN 50 WHEN a > half THEN 85 ELSE 70 END AS threshold FROM c""")
 def adaptive_threshold(t):
-    return locate.adaptive_threshold(locate.scored_lines(t("documents")))
+    return locate.adaptive_threshold(t("documents"))
 
 
 # Evaluation

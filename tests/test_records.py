@@ -86,7 +86,7 @@ def test_provider_records(spark):
 
 def test_sections_and_batches(spark):
     docs = spark.createDataFrame([(1, "x\n# References\na\n## More\nb\n# End\nc\n# References\nd"), (2, "none"), (3, None), (4, "## Bibliography:")], "doc_id int, text string")
-    assert [(r["doc_id"], r["line"], r["section"]) for r in locate.heading_section(docs).collect()] == [(1, 1, "a\n## More\nb")]
+    assert [(r["doc_id"], r["line"], r["section"]) for r in locate.heading_section(docs).collect()] == [(1, 1, "# References\na\n## More\nb"), (4, 0, "## Bibliography:")]
     df = spark.range(11).select("id", F.lit("g").alias("g"))
     sizes = lambda d: sorted((r["batch"], r["count"]) for r in d.groupBy("batch").count().collect())
     assert sizes(records.merged_batches(df, "g", "id", 5, 3)) == [(0, 5), (1, 6)] and sizes(records.batches(df, "g", "id", 5)) == [(0, 5), (1, 5), (2, 1)]
