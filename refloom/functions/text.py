@@ -122,7 +122,7 @@ def split_pages(c: Column, extractor: str | None = None) -> Column:
 def response_lines(c: Column) -> Column:
     """Lines of a model's answer between start and end tags: trimmed, without empty ones."""
     lines = F.split(F.regexp_replace(c, r"(?i)</?(start|end)>", ""), r"\r\n|\n|\r")
-    return F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def source_of_id(c: Column, prefixes: list[str], doi_source: str = "doi", other: str = "unknown") -> Column:
@@ -155,3 +155,21 @@ def filled_prompt(template: Column, **values: Column) -> Column:
 def chat(system: Column, user: Column, assistant: Column) -> Column:
     """Messages of a training example, as JSON."""
     return F.to_json(F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", system), ("user", user), ("assistant", assistant)))))
+
+
+#: Words that tell languages apart; a text's language is that with the most of them.
+COMMON_WORDS = {
+    "de": "der die das und ist nicht ein eine mit von den zu im auf für",
+    "en": "the of and to in is that for it as with was on by",
+    "es": "el los las y que en un una por con del es se para",
+    "fr": "le les et est dans un une des que pour du au sur pas",
+    "it": "il gli e di che per una del della con non sono alla nel",
+}
+
+
+def language(c: Column, other: str = "en") -> Column:
+    """Code of the language whose common words the text has most often, the first by code of equal ones; other without any."""
+    words = F.split(F.lower(c), r"[^\p{L}]+")
+    hits = lambda common: F.size(F.filter(words, lambda w: w.isin(*common.split())))
+    best = F.array_min(F.array(*(F.struct((-hits(common)).alias("n"), F.lit(k).alias("k")) for k, common in sorted(COMMON_WORDS.items()))))
+    return F.when(F.coalesce(best["n"], F.lit(0)) < 0, best["k"]).otherwise(other)

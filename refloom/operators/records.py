@@ -17,12 +17,26 @@ def top_per(df: DataFrame, by: list[str], order: list[Column], k: int | Column =
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Buckets of the hash order of a stratum: a stratum is ranked bucket by bucket, so that no task sorts all of it.
+BUCKETS = 4096
+
+
+def placed(df: DataFrame, stratum: str, key: str, seed: int = 42) -> DataFrame:
+    """Adds place, from 1 in the hash order of the row's stratum, and n, the stratum's rows. Counts of buckets of the order give the rows
+    before each bucket; ranks are taken inside buckets."""
+    rows = df.withColumn("__hash", hash_key(F.col(key), seed=seed)).withColumn("__bucket", F.conv(F.substring("__hash", 1, 3), 16, 10).cast("int"))
+    sizes = rows.groupBy(F.col(stratum).alias("__stratum"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__size"))
+    whole = Window.partitionBy("__stratum")
+    sizes = sizes.withColumn("__before", F.sum("__size").over(whole.orderBy("__b")) - F.col("__size")).withColumn("n", F.sum("__size").over(whole))
+    joined = rows.join(sizes, F.col(stratum).eqNullSafe(F.col("__stratum")) & (F.col("__bucket") == F.col("__b")))
+    rank = F.row_number().over(Window.partitionBy(stratum, "__bucket").orderBy("__hash", key))
+    return joined.withColumn("place", (F.col("__before") + rank).cast("int")).drop("__hash", "__bucket", "__stratum", "__b", "__size", "__before")
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int | None = None, share: float | None = None, seed: int = 42) -> DataFrame:
     """n rows of each stratum, or its share but one at least, in hash order."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_key(F.col(key), seed=seed), key))
-    size = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    limit = F.lit(n) if share is None else F.greatest(F.lit(1), F.floor(size * F.lit(share)))
-    return df.withColumn("place", place).withColumn("limit", limit).where("place <= limit").drop("limit")
+    limit = F.lit(n) if share is None else F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)))
+    return placed(df, stratum, key, seed).where(F.col("place") <= limit).drop("n")
 
 
 def batches(df: DataFrame, group: str, key: str, size: int) -> DataFrame:
@@ -71,8 +85,7 @@ def merged_batches(df: DataFrame, group: str, key: str, size: int, least: int) -
 
 def ratio_split(df: DataFrame, stratum: str, key: str, share: float, seed: int = 42) -> DataFrame:
     """Adds first_part: whether the row is in the first floor(n x share) rows of its stratum in hash order."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_key(F.col(key), seed=seed), key))
-    return df.withColumn("first_part", place <= F.floor(F.count(F.lit(1)).over(Window.partitionBy(stratum)) * F.lit(share)))
+    return placed(df, stratum, key, seed).withColumn("first_part", F.col("place") <= F.floor(F.col("n") * F.lit(share))).drop("place", "n")
 
 
 def first_match(df: DataFrame, lookup: DataFrame, key: str, rank: str) -> DataFrame:
@@ -80,14 +93,119 @@ def first_match(df: DataFrame, lookup: DataFrame, key: str, rank: str) -> DataFr
     return df.join(top_per(lookup, [key], [F.col(rank)]).drop("rank"), key, "left")
 
 
+def title_pattern(title: Column, chars: int = 50, words: int = 4) -> tuple[Column, Column]:
+    """(a pattern, the literal parts it is made of): the first words longer than three letters of the title's first so many characters, in
+    order; all those characters where there are fewer than two such words. In lower case."""
+    start = F.lower(F.substring(title, 1, chars))
+    long_words = F.filter(F.split(start, r"\s+"), lambda w: F.length(w) > 3)
+    parts = F.when(F.size(long_words) > 1, F.slice(long_words, 1, words)).otherwise(F.array(start))
+    return F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, r"([^\w\s])", r"\\$1")), ".*"), parts
+
+
+def _grams(c: Column, n: int = 3) -> Column:
+    """Distinct pieces of n characters; a shorter text is one piece."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n))))
+
+
 def title_pattern_candidates(refs: DataFrame, index: DataFrame, chars: int = 50, words: int = 4, k: int = 20) -> DataFrame:
-    """ref_id, rec_id: records whose title holds, in order, the first words longer than three letters of the first so many
-    characters of the reference's title; k at most, by record. Candidates share the reference's longest such word."""
-    picked = F.slice(F.filter(F.split(F.regexp_replace(F.lower(F.substring("title", 1, chars)), r"[^\w\s]", ""), r"\s+"), lambda w: F.length(w) > 3), 1, words)
-    asked = refs.select("ref_id", picked.alias("words")).where(F.size("words") > 0)
-    asked = asked.select("ref_id", F.array_join("words", ".*").alias("pattern"), F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"].alias("word"))
-    found = index.select("rec_id", F.lower("title").alias("title")).withColumn("word", F.explode(F.array_distinct(F.split(F.regexp_replace("title", r"[^\w\s]", ""), r"\s+"))))
-    return top_per(asked.join(found, "word").where(F.rlike("title", F.col("pattern"))), ["ref_id"], [F.col("rec_id")], k).select("ref_id", "rec_id")
+    """ref_id, rec_id: records whose title fits the reference's title_pattern, words inside words too; k at most, by record. A title that
+    fits holds all pieces of three characters of the pattern's parts, so each reference meets only the records with its rarest piece.
+    References of fewer than three characters, which no such piece tells, meet records by pieces of their length."""
+    pattern, parts = title_pattern(F.col("title"), chars, words)
+    asked = refs.where(F.trim("title") != "").select("ref_id", pattern.alias("pattern"), F.array_distinct(F.flatten(F.transform(parts, lambda p: _grams(p)))).alias("grams"))
+    titles = index.select("rec_id", F.lower("title").alias("title"))
+    short = [n for n in (1, 2) if asked.where(F.exists("grams", lambda g: F.length(g) == n)).limit(1).count()]
+    held = titles.select("rec_id", F.explode(F.array_distinct(F.flatten(F.array(*(_grams(F.col("title"), n) for n in (3, *short)))))).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.select("ref_id", "pattern", F.explode("grams").alias("gram")).join(counts, "gram", "left").groupBy("ref_id", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    found = rarest.where("g.n > 0").select("ref_id", "pattern", F.col("g.gram").alias("gram")).join(held, "gram").join(titles, "rec_id").where(F.rlike("title", F.col("pattern")))
+    return top_per(found.select("ref_id", "rec_id"), ["ref_id"], [F.col("rec_id")], k).select("ref_id", "rec_id")
+
+
+def author_title_year_candidates(refs: DataFrame, index: DataFrame, slack: int = 1, k: int = 20) -> DataFrame:
+    """ref_id, rec_id: records of the reference's family name, a year slack away at most, and a title that fits its pattern; k at most."""
+    pattern, _ = title_pattern(F.col("title"))
+    asked = refs.select("ref_id", "family", "year", pattern.alias("pattern"))
+    near = year_range_candidates(asked, index.select("rec_id", "family", "year", F.lower("title").alias("title")), "family", slack)
+    return top_per(near.where(F.rlike("title", F.col("pattern"))).select("ref_id", "rec_id"), ["ref_id"], [F.col("rec_id")], k).select("ref_id", "rec_id")
+
+
+def with_optional(df: DataFrame, key: str, **lookups: DataFrame) -> DataFrame:
+    """df with a column for each lookup (key, value; one row a key): its value, null where it has none."""
+    for name, table in lookups.items():
+        df = df.join(table.select(F.col(key), F.col("value").alias(name)), key, "left")
+    return df
+
+
+def first_strategy(passes: list[DataFrame], key: str) -> DataFrame:
+    """Rows of the first of the tables that has any for their key, with the table's number as pass."""
+    numbered = [p.withColumn("pass", F.lit(i)) for i, p in enumerate(passes, 1)]
+    both = numbered[0]
+    for p in numbered[1:]:
+        both = both.unionByName(p)
+    first = both.groupBy(key).agg(F.min("pass").alias("__first"))
+    return both.join(first, key).where(F.col("pass") == F.col("__first")).drop("__first")
+
+
+def zip_prefix(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """Elements of a by position, with those of b; null where b is shorter, and what b has more is left out."""
+    return df.select(*keys, b, F.posexplode(a).alias("pos", "__a")).select(*keys, "pos", F.col("__a").alias(a), F.get(b, F.col("pos")).alias(b))
+
+
+def weighted_pick(u: Column, weights: dict[str, float]) -> Column:
+    """The name whose part of [0, 1) holds u, parts in the order given and as long as their weights."""
+    total, bound, out = sum(weights.values()), 0.0, None
+    for name, w in weights.items():
+        bound += w / total
+        out = F.when(u < bound, name) if out is None else out.when(u < bound, name)
+    return out.otherwise(list(weights)[-1])
+
+
+def classified(predicted: Column, gold: Column) -> Column:
+    """'over', 'under' or 'exact' by counts."""
+    return F.when(predicted > gold, "over").when(predicted < gold, "under").otherwise("exact")
+
+
+def tag_counts(df: DataFrame, tags: str, group: str | None = None) -> DataFrame:
+    """tag, n_records, and n_groups if a group is given: how many records, and groups, have each key of a map."""
+    rows = df.select(*([group] if group else []), F.explode(F.map_keys(tags)).alias("tag"))
+    return rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n_records"), *([F.count_distinct(group).alias("n_groups")] if group else []))
+
+
+def with_counts(files: DataFrame, refs: DataFrame, key: str, name: str = "n_refs") -> DataFrame:
+    """files with how many rows refs has for their key, 0 without any."""
+    return files.join(refs.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def histogram(df: DataFrame, c: str, width: float) -> DataFrame:
+    """start, n: how many values lie from each start up to the next, `width` on."""
+    return df.where(F.col(c).isNotNull()).groupBy((F.floor(F.col(c) / width) * width).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def same_sizes(gold: DataFrame, silver: DataFrame, key: str, refs: str) -> DataFrame:
+    """key, n_gold, n_silver, same: how many references each side has for a key that both have."""
+    sizes = lambda df, name: df.select(key, F.size(refs).cast("long").alias(name))
+    return sizes(gold, "n_gold").join(sizes(silver, "n_silver"), key).withColumn("same", F.col("n_gold") == F.col("n_silver"))
+
+
+def multi_pass(refs: DataFrame, index: DataFrame, passes: list[list[str]], score: Column, accept: float, band: float, gap: float) -> DataFrame:
+    """ref_id, rec_id, pass, score, decision. Passes join on their lists of columns, from strict to loose, and a reference goes on to the
+    next only while none of its candidates is accepted. The best candidate is accepted from `accept` up, is for review from `band` up, and
+    also from `accept` up if the next one is less than `gap` below; others are none. score is of columns of refs, and of index as rec_*; pairs
+    without one are no candidates."""
+    right = index.select(F.col("rec_id"), *(F.col(c).alias(f"rec_{c}") for c in index.columns if c != "rec_id"))
+    rest, out = refs, None
+    for number, keys in enumerate(passes, 1):
+        pairs = rest.join(right, [F.col(k) == F.col(f"rec_{k}") for k in keys]).withColumn("score", score).where("score IS NOT NULL")
+        ranked = top_per(pairs.select("ref_id", "rec_id", "score"), ["ref_id"], [F.desc("score"), F.col("rec_id")], 2)
+        best = ranked.groupBy("ref_id").agg(F.min_by("rec_id", "rank").alias("rec_id"), F.max("score").alias("score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
+        clear = F.col("second").isNull() | (F.col("score") - F.col("second") >= gap)
+        decision = F.when((F.col("score") >= accept) & clear, "accept").when(F.col("score") >= band, "review").otherwise("none")
+        found = best.select("ref_id", "rec_id", F.lit(number).alias("pass"), "score", decision.alias("decision"))
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(found.where("decision = 'accept'"), "ref_id", "left_anti")
+    order = [F.expr("CASE decision WHEN 'accept' THEN 0 WHEN 'review' THEN 1 ELSE 2 END"), F.col("pass")]
+    return top_per(out, ["ref_id"], order).drop("rank")
 
 
 def ordered_names(df: DataFrame, key: str, ordinal: str, pos: str, name: str) -> DataFrame:

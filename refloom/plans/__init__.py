@@ -1 +1 @@
-from refloom.plans import catalog, record_queries  # noqa: F401  (record_queries adds to the catalog)
+from refloom.plans import catalog, flow_queries, record_queries  # noqa: F401  (both add to the catalog)

@@ -205,8 +205,8 @@ def dedup_keep_best(t):
 @query("""WITH s AS (SELECT o_custkey, 1 AS pass, o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_custkey, 2, o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH'),
 m AS (SELECT *, min(pass) OVER (PARTITION BY o_custkey) AS first FROM s) SELECT o_custkey, pass, count(*) AS n FROM m WHERE pass = first GROUP BY ALL""")
 def strategy_fallback(t):
-    passes = [t("orders").where(F.col("o_orderpriority") == p).select("o_custkey", F.lit(k).alias("pass")) for k, p in ((1, "1-URGENT"), (2, "2-HIGH"))]
-    both = passes[0].unionByName(passes[1].join(passes[0], "o_custkey", "left_anti"))
+    passes = [t("orders").where(F.col("o_orderpriority") == p).select("o_custkey", "o_orderkey") for p in ("1-URGENT", "2-HIGH")]
+    both = records.first_strategy(passes, "o_custkey")
     return both.groupBy("o_custkey", "pass").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -227,8 +227,8 @@ def group_batches(t):
 
 @query("""SELECT p_partkey, CASE WHEN u < 40 THEN 'a' WHEN u < 65 THEN 'b' WHEN u < 90 THEN 'c' WHEN u < 95 THEN 'd' ELSE 'e' END AS pick FROM (SELECT p_partkey, (p_partkey * 7919) % 100 AS u FROM part)""")
 def weighted_pick(t):
-    u = (F.col("p_partkey") * 7919) % 100
-    return t("part").select("p_partkey", F.when(u < 40, "a").when(u < 65, "b").when(u < 90, "c").when(u < 95, "d").otherwise("e").alias("pick"))
+    u = ((F.col("p_partkey") * 7919) % 100 + 0.5) / 100
+    return t("part").select("p_partkey", records.weighted_pick(u, {"a": 40, "b": 25, "c": 25, "d": 5, "e": 5}).alias("pick"))
 
 
 @query("""SELECT lang, source FROM documents INTERSECT SELECT lang, source FROM documents WHERE n_chars > 2000""")
@@ -318,4 +318,4 @@ def window_tumbling_events(t):
 
 @query("""SELECT user_id AS job, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id) AS last_stage, count(DISTINCT event_type) AS n_stages, CASE arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000 + event_id) WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'processing' END AS status FROM events GROUP BY user_id""")
 def job_state(t):
-    return jobs.job_state(t("events").select(F.col("user_id").alias("job"), F.col("event_type").alias("stage"), "ts", "event_id"))
+    return jobs.job_state(t("events").select(F.col("user_id").alias("job"), F.col("event_type").alias("stage"), "ts", "event_id"), ("error",), ("purchase",)).drop("last_ts")

@@ -124,12 +124,15 @@ def identifier_lookup(t):
 
 
 @query(r"""WITH w AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS title FROM part),
-q AS (SELECT p_partkey, list_filter(string_split(substr(title, 1, 50), ' '), lambda x: length(x) > 3)[1:4] AS ws FROM w WHERE p_partkey % 20 = 0),
-k AS (SELECT *, list_sort(list_transform(ws, lambda x: {'n': length(x), 'word': x}))[-1].word AS longest FROM q WHERE len(ws) > 0)
-SELECT ref_id, rec_id FROM (SELECT k.p_partkey AS ref_id, w.p_partkey AS rec_id, row_number() OVER (PARTITION BY k.p_partkey ORDER BY w.p_partkey) AS r FROM k JOIN w ON list_contains(string_split(w.title, ' '), longest) AND regexp_matches(w.title, array_to_string(ws, '.*'))) WHERE r <= 20""")
+q AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN title WHEN 1 THEN substr(title, 3) ELSE substr(title, 1, 5) END AS title FROM w WHERE p_partkey % 20 = 0),
+l AS (SELECT p_partkey, title, list_filter(string_split(substr(title, 1, 50), ' '), lambda x: length(x) > 3) AS ws FROM q),
+k AS (SELECT p_partkey, CASE WHEN len(ws) > 1 THEN array_to_string(ws[1:4], '.*') ELSE substr(title, 1, 50) END AS pattern FROM l)
+SELECT ref_id, rec_id FROM (SELECT k.p_partkey AS ref_id, w.p_partkey AS rec_id, row_number() OVER (PARTITION BY k.p_partkey ORDER BY w.p_partkey) AS r FROM k JOIN w ON regexp_matches(w.title, pattern)) WHERE r <= 20""")
 def title_pattern_candidates(t):
     index = t("part").select(F.col("p_partkey").alias("rec_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
-    return records.title_pattern_candidates(index.withColumnRenamed("rec_id", "ref_id").where("ref_id % 20 = 0"), index)
+    k = F.col("rec_id") % 3
+    asked = F.when(k == 0, F.col("title")).when(k == 1, F.expr("substring(title, 3)")).otherwise(F.substring("title", 1, 5))
+    return records.title_pattern_candidates(index.where("rec_id % 20 = 0").select(F.col("rec_id").alias("ref_id"), asked.alias("title")), index)
 
 
 # Sections

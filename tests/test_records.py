@@ -18,6 +18,9 @@ def test_json_repair(spark):
     assert json.loads(parsed('```json\n[{"a": 1} {"a": 2},]\n```')) == [{"a": 1}, {"a": 2}]
     assert json.loads(parsed("{'a': 'it', b: None, 'c': False")) == {"a": "it", "b": None, "c": False}
     assert json.loads(parsed('{"a": "x, y: True, z"}')) == {"a": "x, y: True, z"}  # text that parses is not repaired
+    # repairs stay outside strings
+    assert json.loads(parsed('{"t": "Deep Learning: A, Foo: B", "v": "vol 12",}')) == {"t": "Deep Learning: A, Foo: B", "v": "vol 12"}
+    assert json.loads(parsed('{"a": "x\\y [1", n: 2')) == {"a": "x\\y [1", "n": 2} and json.loads(parsed("{'a': 'b: c, d: e'}")) == {"a": "b: c, d: e"}
     assert [parsed(s) for s in ("", "no json", None)] == [None] * 3
 
 
@@ -36,6 +39,7 @@ def test_tei_fields(spark):
     assert len(rows) == 1
     r = rows[0]
     assert (r["id"], r["pos"], r["authors"], r["editors"], r["translator"]) == (1, 0, ["Ann C. Day", "Org"], [], "Tr")
+    assert (r["title"], r["identifiers"][0]["normalized"], r["author_agents"][0]["middle_name"]) == ("A b", "10.1/x", "C.")
     assert (r["journal"], r["place"], r["date"], r["pages"], r["footnote"]) == ("J", "Rome, Bonn", "2001", "1-9", "12")
     assert [(i["scheme"], i["value"]) for i in r["identifiers"]] == [("doi", "10.1/x")]
 
