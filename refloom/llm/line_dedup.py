@@ -20,7 +20,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_lines(rows: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """(lines, repeated): each long line's key hash by document and position, and the keys that min_docs documents hold.
 
-    A key is hashed to 128 bits. Documents are counted per key in two steps, by (key, document) and then by key with
+    A key is hashed to 128 bits. Lines are split and hashed once and kept in the shared folder, without their text. Documents are counted per key in two steps, by (key, document) and then by key with
     partial sums, so a line that a third of all documents hold is never gathered in one task.
     """
     key = common.lower_ascii(F.btrim(F.col("line"), F.lit(BLANKS)))
@@ -30,6 +30,7 @@ def repeated_lines(rows: DataFrame, min_chars: int, min_docs: int) -> tuple[Data
         .where(F.char_length("key") >= min_chars)
         .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"))
     )
+    lines = common.write_shared(lines, "lines")
     repeated = (
         lines.select("k1", "k2", "doc_id")
         .distinct()
@@ -49,7 +50,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a line only if no other document holds it. A document that holds a line twice counts once and loses or keeps both.
     An empty table gives an empty table. Other columns are not read.
 
-    Only the repeated keys and the positions of dropped lines are joined, so each text is shuffled once.
+    Only the repeated keys and the positions of dropped lines are joined, so each text is shuffled once. In the join of lines with
+    repeated keys, adaptive execution splits the partition of a line that very many documents hold.
     """
     rows = _rows(docs, id_col, text_col)
     lines, repeated = repeated_lines(rows, min_chars, min_docs)
