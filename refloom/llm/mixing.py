@@ -86,10 +86,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
         source_col: str = "source", block_chars: int = 65536, frame: int = 1000, max_sources: int = 1000, slice_rows: int = 2000) -> DataFrame:
     """A place in the mixture for every document: doc_id, source, block, phase, slot, rank (in the block).
 
-    Each source's documents, in a hash order, are cut into blocks of block_chars characters (a document belongs to the
-    block it begins in, and a long one uses up the slots of the blocks it covers). Ordered by (slot, rank), the sources'
-    characters follow the target weights to within one block while no source has ended; later phases go on with the rest.
-    No document is dropped, repeated or sampled.
+    Each source's documents, in a hash order, are cut into blocks, each with a release time and a deadline, of half of
+    block_chars characters: a document belongs to the block of its middle, and a long one uses up the slots of the blocks that it
+    covers, half of them before its own and half after it. Ordered by (slot, rank), each source's characters follow its
+    target weight to within one block, of block_chars or of the longest document if that is longer, as no document is
+    cut: less than half a block by the schedule, half a document by the middle, and what the other sources' documents
+    overhang. That holds while no source has ended; later phases go on with the rest in the same way. No document is dropped, repeated
+    or sampled.
 
     weights: target weight by source; sources it lacks get the smallest of its weights. None: characters ** power.
     A null source is the source ''. Null and empty texts count as one character, a null id hashes like any value;
@@ -111,7 +114,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     target = {r["source"]: (weights.get(r["source"], least) if weights else float(r["chars"]) ** power) for r in totals}
     if any(not w > 0 for w in target.values()):
         raise ValueError("target weights must be above 0")
-    blocks = {r["source"]: -(-r["chars"] // block_chars) for r in totals}
+    part = max(1, block_chars // 2)
+    blocks = {r["source"]: -(-r["chars"] // part) for r in totals}
     frame = max(frame, 4 * len(blocks))
     slices = max(1, -(-sum(r["rows"] for r in totals) // slice_rows))
     rows = rows.withColumn("slice", F.pmod(F.shiftrightunsigned("place", 33), F.lit(slices)))
@@ -120,7 +124,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     inside = Window.partitionBy("source", "slice").orderBy("place", "doc_id", "chars")
     rows = rows.withColumn("within", F.sum("chars").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.join(before, ["source", "slice"]).withColumn("at", F.coalesce("within", F.lit(0)) + F.col("base"))
-    rows = rows.withColumn("block", F.floor(F.col("at") / block_chars)).withColumn("rank", F.col("at") % block_chars)
+    middle = F.col("at") + F.floor(F.col("chars") / 2)
+    rows = rows.withColumn("block", F.floor(middle / part)).withColumn("rank", middle % part)
 
     phases, turns = _tables(plan(blocks, target, frame), blocks, target, frame)
     plan_df = spark.createDataFrame(phases, "phase int, source string, first_block long, end_block long, slots long, first_slot long, frame long")
