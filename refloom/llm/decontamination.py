@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -37,15 +36,20 @@ def item_windows(words: list[bytes], n: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
 
 
+def _in_order(items) -> list[int | None]:
+    """Ascending, null the last."""
+    return sorted(items, key=lambda x: (x is None, x or 0))
+
+
 class WindowIndex:
     """Windows under their rarest word. A document window equals an item window only if it holds all its words, so of the
     words in order of rarity a prefix of one is necessary (size - size + 1) and enough to find every candidate; its place
     in the window then fixes where the candidate begins."""
 
-    def __init__(self, items: list[tuple[int, bytes]], n: int, frequency: dict[bytes, int]):
+    def __init__(self, items: list[tuple[int | None, bytes]], n: int, frequency: dict[bytes, int]):
         #: by rarest word: (its place, window, item)
         self.by_word: dict[bytes, list[tuple[int, tuple[bytes, ...], list[int]]]] = defaultdict(list)
-        owners: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
+        owners: dict[tuple[bytes, ...], list[int | None]] = defaultdict(list)
         self.sizes: dict[int, int] = {}
         self.spans: dict[int, int] = {}
         for item, text in items:
@@ -57,7 +61,7 @@ class WindowIndex:
                 owners[w].append(item)
         for w, own in owners.items():
             place = min(range(len(w)), key=lambda i: (frequency.get(w[i], 0), w[i], i))
-            self.by_word[w[place]].append((place, w, sorted(set(own))))
+            self.by_word[w[place]].append((place, w, _in_order(set(own))))
         self.by_word = dict(self.by_word)
 
     def match(self, words: list[bytes]) -> tuple[list[int], list[int], float]:
@@ -85,16 +89,16 @@ class WindowIndex:
                         del inside[found[first][1]]
                     first += 1
                 best = max(best, len(inside) / self.sizes[item])
-        return sorted(hit), sorted(at), best
+        return sorted(hit), _in_order(at), best
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """Items in blocks of about block_words words, one block on the driver at a time."""
     rows = items.select(items[item_col].cast("long").alias("item"), items[text_col].cast("string").alias("text")).where("text is not null")
     block, size = [], 0
     for r in rows.orderBy("item", "text").toLocalIterator():
         text = r["text"].encode()
-        block.append((r["item"] if r["item"] is not None else -1, text))
+        block.append((r["item"], text))
         size += len(words_of(text))
         if size >= block_words:
             yield block
@@ -133,7 +137,7 @@ def contaminate(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "d
 
     Items are a query set: they come to the driver and executors in blocks of about block_words words, each of which is
     joined with all documents, so their number is not limited. Null or empty texts have no words and no hits; items without
-    words match nothing; a null item id is -1; items that share an id are one item. Repeated documents each get their row.
+    words match nothing; a null item id is an item of its own; items that share an id are one item. Repeated documents each get their row.
     Long texts are matched whole. Empty tables give no rows, or rows without hits. Other columns are not read.
     """
     rows = common.texts(docs, id_col, text_col)
@@ -168,7 +172,3 @@ def _pass(rows: DataFrame, block: list[tuple[int, bytes]], n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part, *(pa.array(c, ARROW.field(k + 2).type) for k, c in enumerate(columns))], schema=ARROW)
 
     return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(join, RESULT)
-
-
-def items_digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
