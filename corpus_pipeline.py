@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.llm import decontamination, mixing, near_dup, rans, toxicity
-from refloom.llm.common import table, write_shared
+from refloom.llm.common import release, table, write_shared
 from refloom.llm.queries import tokenizer_path
 
 
@@ -73,7 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = write_shared(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        release(*written)
+        written = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)  # writes its files before it returns
+    release(*written)
+    return out

@@ -54,7 +54,15 @@ def write_shared(df: DataFrame, name: str, compression: str = "snappy") -> DataF
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/refloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the tables of write_shared that nothing reads any more."""
+    for f in frames:
+        remove(f.sparkSession, f.shared_path)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,6 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         nearer = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("before"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
         new = common.write_shared(nearer.join(jump, "label").select("node", F.least("label", "jumped").alias("label"), (F.least("label", "jumped") < F.col("before")).alias("changed")), "labels")
-        labels = new.select("node", "label")
+        common.release(labels)
+        labels = new
         if not new.where("changed").limit(1).count():
-            return labels
+            common.release(both)
+            return labels.drop("changed")

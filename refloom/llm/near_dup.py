@@ -1,4 +1,4 @@
-"""MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, plain minima, bands, exact Jaccard."""
+"""MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, bands, exact weighted Jaccard."""
 
 from __future__ import annotations
 
@@ -20,16 +20,16 @@ from .shingles import mixed, shingle_hashes, word_hashes
 class Settings:
     words: int = 5
     similarity: float = 0.8
-    #: bands x rows weighted samples, and as many plain minima; a pair at the similarity, weighted or plain, shares no band
-    #: of that kind with probability (1 - 0.8**4)**20 = 3e-5
+    #: bands x rows samples; a pair at the similarity shares no band with probability (1 - 0.8**4)**20 = 3e-5
     bands: int = 20
     rows: int = 4
     #: document frequencies are told apart from this share of all documents up
     rare: float = 0.01
-    #: counters of the document-frequency table
-    counters: int = 1 << 18
+    #: counters of the document-frequency table, for each shingle of a mean document
+    counters: int = 512
+    triples: int = 1 << 16
     #: nodes, and bytes of shingles, of a block of a large band
-    block_nodes: int = 512
+    block_nodes: int = 2048
     block_bytes: int = 8_000_000
     seed: int = 20
 
@@ -40,13 +40,14 @@ DEFAULT = Settings()
 class Sampler:
     """Improved consistent weighted sampling: for sample k a shingle of weight w has r, c ~ Gamma(2, 1) and b ~ U(0, 1) of
     its own, t = floor(ln w / r + b), ln y = r (t - b), ln a = ln c - ln y - r; the shingle of the least a, with its t, is
-    the sample. The three numbers come from a table of 65,536 triples, at a place hashed from the shingle and k. Beside each
-    weighted sample, the least hash of all shingles is a sample without weights."""
+    the sample. The three numbers come from a table of triples, at a place hashed from the shingle and k; of shingles
+    with the same triple and weight, the one of the smaller hash comes first."""
 
     def __init__(self, s: Settings, frequency: np.ndarray, n_docs: int):
         rng = np.random.default_rng(s.seed)
-        size = 1 << 16
-        self.s = s
+        size = s.triples
+        self.s, self.counters = s, len(frequency)
+        self.shift = np.uint64(64 - size.bit_length() + 1)
         self.r, self.log_c, self.b = rng.gamma(2, 1, size), np.log(rng.gamma(2, 1, size)), rng.random(size)
         self.multipliers = rng.integers(1 << 62, 1 << 63, s.bands * s.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         share = np.maximum(frequency / max(n_docs, 1), s.rare)
@@ -64,19 +65,17 @@ class Sampler:
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles in ascending order, and their weights: count x inverse document frequency."""
         h, n = np.unique(shingle_hashes(word_hashes(text), self.s.words), return_counts=True)
-        return h, n.astype(np.float32) * self.idf[counter(h, self.s)]
+        return h, n.astype(np.float32) * self.idf[counter(h, self.counters)]
 
     def bands(self, h: np.ndarray, w: np.ndarray) -> list[int]:
         odd = np.flatnonzero(w != self.usual)
         ks = len(self.multipliers)
         best = np.full(ks, np.inf, np.float32)
         sample, ts = np.zeros(ks, np.uint64), np.zeros(ks, np.int64)
-        plain = np.full(ks, np.iinfo(np.uint64).max, np.uint64)
         for start in range(0, len(h), 1024):
             part = h[start : start + 1024]
             hashed = part * self.multipliers[:, None]
-            plain = np.minimum(plain, hashed.min(axis=1))
-            at = (hashed >> np.uint64(48)).astype(np.int64)
+            at = (hashed >> self.shift).astype(np.int64)
             a = self.usual_a[at]
             mine = odd[(odd >= start) & (odd < start + 1024)] - start
             if len(mine):
@@ -93,15 +92,15 @@ class Sampler:
             better = least < best  # ties go to the smaller hash, as shingles come in ascending order
             best[better], sample[better], ts[better] = least[better], part[first][better], t[better]
         weighted = mixed(sample + mixed(ts.astype(np.uint64) + np.uint64(77)))
-        keys = np.concatenate([weighted, mixed(plain)]).reshape(2 * self.s.bands, self.s.rows)
-        total = np.arange(2 * self.s.bands, dtype=np.uint64)
+        keys = weighted.reshape(self.s.bands, self.s.rows)
+        total = np.arange(self.s.bands, dtype=np.uint64)
         for k in range(self.s.rows):
             total = mixed(total * np.uint64(31) + keys[:, k])
         return total.view(np.int64).tolist()
 
 
-def counter(h: np.ndarray, s: Settings) -> np.ndarray:
-    return (h % np.uint64(s.counters)).astype(np.int64)
+def counter(h: np.ndarray, counters: int) -> np.ndarray:
+    return (h % np.uint64(counters)).astype(np.int64)
 
 
 def content_key(text: bytes) -> bytes:
@@ -116,12 +115,15 @@ CHUNK = 1 << 14
 def document_frequency(texts: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
     """(counters, documents): for each counter the documents that hold a shingle hashed to it, over all documents.
 
-    The table has a fixed size. With m counters and g distinct shingles in a mean document, a count is too high by g/m of
-    all documents on average (0.2 % for 550 shingles), at any size of the corpus; below `rare` shares are not told apart.
-    Tables are added in two steps, of 64 tasks' and then of all."""
+    A shingle shares its counter with others, which make its count too high by g / m of all documents on average, of g
+    shingles in a mean document and m counters. The table has about 512 counters for each of them (a word is taken for six
+    bytes), 2**18 to 2**24 in all, so that this is 0.2 % or less, a fifth of `rare`, up to means of 200 KB a text. Shares
+    below `rare` are not told apart. Tables are added in two steps, of 64 tasks' and then of all."""
     schema = "salt int, chunk int, n long, counts binary"
     arrow = pa.schema([("salt", pa.int32()), ("chunk", pa.int32()), ("n", pa.int64()), ("counts", pa.binary())])
-    size = min(CHUNK, s.counters)
+    mean = texts.select(F.avg(F.octet_length(F.coalesce("text", F.lit("")))).alias("mean")).first()["mean"] or 0
+    counters = 1 << min(24, max(18, int(s.counters * mean / 6).bit_length()))
+    size = min(CHUNK, counters)
 
     def rows(salt: int, n: int, total: np.ndarray):
         parts = total.reshape(-1, size)
@@ -129,11 +131,11 @@ def document_frequency(texts: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
 
     def count(batches):
         common.clear_worker_caches()
-        total, n = np.zeros(s.counters, np.int64), 0
+        total, n = np.zeros(counters, np.int64), 0
         for batch in batches:
             for _, values in common.byte_column(batch, "text", 500):
                 for t in values:
-                    total[np.unique(counter(shingle_hashes(word_hashes(t), s.words), s))] += 1
+                    total[np.unique(counter(shingle_hashes(word_hashes(t), s.words), counters))] += 1
                     n += 1
         if n:
             yield rows(TaskContext.get().partitionId() // 64, n, total)
@@ -145,9 +147,9 @@ def document_frequency(texts: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
 
     tables = texts.select("text").mapInArrow(count, schema)
     added = tables.groupBy("salt", "chunk").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
-    found = sorted(common.collect_bounded(added, s.counters // size, "parts of the frequency table"), key=lambda r: r["chunk"])
+    found = sorted(common.collect_bounded(added, counters // size, "parts of the frequency table"), key=lambda r: r["chunk"])
     if not found:
-        return np.zeros(s.counters, np.int64), 0
+        return np.zeros(counters, np.int64), 0
     return np.concatenate([np.frombuffer(bytes(r["counts"]), "<i8") for r in found]), found[0]["n"]
 
 
@@ -194,17 +196,15 @@ def unpacked(vec: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """The larger of weighted Jaccard (sum of minima over sum of maxima) and plain Jaccard: in a group that is a large part
-    of the corpus what its texts share weighs little, and edits much."""
+    """Weighted Jaccard: sum of minima over sum of maxima."""
     (h, v), (g, w) = unpacked(a), unpacked(b)
     if not len(h) or not len(g):
         return float(len(h) == len(g))
     at = np.searchsorted(g, h)
     at[at == len(g)] = 0
     same = g[at] == h
-    n = int(same.sum())
     shared = float(np.minimum(v[same], w[at[same]]).sum(dtype=np.float64))
-    return max(shared / (float(v.sum(dtype=np.float64)) + float(w.sum(dtype=np.float64)) - shared), n / (len(h) + len(g) - n))
+    return shared / (float(v.sum(dtype=np.float64)) + float(w.sum(dtype=np.float64)) - shared)
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
@@ -229,9 +229,8 @@ def forest(vecs: list[bytes], labels: list[bytes], least: float) -> list[tuple[i
     if not vecs:
         return []
     parts = [unpacked(v) for v in vecs]
-    sizes = np.array([len(h) for h, _ in parts], dtype=np.int64)
     hashes, weights = np.concatenate([h for h, _ in parts]), np.concatenate([w for _, w in parts])
-    owner = np.repeat(np.arange(len(vecs)), sizes)
+    owner = np.repeat(np.arange(len(vecs)), [len(h) for h, _ in parts])
     order = np.argsort(hashes, kind="stable")
     by_hash, by_owner, by_weight = hashes[order], owner[order], weights[order]
     totals = np.bincount(owner, weights=weights, minlength=len(vecs))
@@ -246,8 +245,7 @@ def forest(vecs: list[bytes], labels: list[bytes], least: float) -> list[tuple[i
         ends = np.cumsum(counts)
         at = np.repeat(first - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
         shared = np.bincount(by_owner[at], weights=np.minimum(by_weight[at], np.repeat(w, counts)), minlength=len(vecs))
-        n = np.bincount(by_owner[at], minlength=len(vecs))
-        alike = (shared >= least * (totals + totals[k] - shared)) | (n >= least * (sizes + sizes[k] - n))
+        alike = shared >= least * (totals + totals[k] - shared)
         for j in np.flatnonzero(alike & (root != root[k])).tolist():
             if root[j] != root[k]:
                 links.append((k, j))
@@ -289,10 +287,11 @@ def _inside_bands(open_bands: DataFrame, vectors: DataFrame, s: Settings) -> Dat
 
 def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, group_id (the smallest id of the group), group_size for every document. Groups are the connected components of
-    links between texts whose Jaccard similarity, weighted over TF-IDF shingles or plain, is at least the setting.
+    links between texts whose Jaccard similarity, weighted over TF-IDF shingles, is at least the setting. What many documents
+    hold weighs little, so near copies in a group that is a large part of the corpus are told apart by less than elsewhere.
 
-    1. A table of fixed size gives document frequencies over all documents. 2. One pass gives each document a key of its
-    words, its bands of weighted and of plain samples and its weight; documents of one key are copies, and one of them stands for all. 3. The nodes
+    1. A table of counters gives document frequencies over all documents. 2. One pass gives each document a key of its
+    words, its bands of samples and its weight; documents of one key are copies, and one of them stands for all. 3. The nodes
     of a band are compared with one of them, its hub, the one that meets the most nodes over all its bands: as many
     comparisons as nodes. 4. In bands whose other nodes are then still in several components, all are compared across
     components, block by block, and only links that join components come out. So no link that a band shows is lost, and a
@@ -318,11 +317,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
     vectors = _vectors(texts, needed, sampler)
     hubs = members.join(met.select("node", "met"), "node").groupBy("band", "value").agg(F.max(F.struct("met", "node")).alias("top"))
     hubs = hubs.select("band", "value", F.col("top.node").alias("hub"))
-    members = common.write_shared(members.join(hubs, ["band", "value"]).where("node <> hub"), "spokes")
-    stars = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    spokes = common.write_shared(members.join(hubs, ["band", "value"]).where("node <> hub"), "spokes")
+    common.release(shared, members)
+    stars = spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = common.write_shared(_verified(stars, vectors, s.similarity), "links")
     labels = components(links)
-    placed = members.select("band", "value", "node", "n", "band_weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = spokes.select("band", "value", "node", "n", "band_weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_bands = placed.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "value")
     bytes_of = F.col("band_weight") / float(sampler.value.usual) * 12
     blocks = F.ceil(F.greatest(F.col("n") / s.block_nodes, bytes_of / s.block_bytes)).cast("long")
@@ -330,6 +330,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str =
     more = common.write_shared(_inside_bands(opened, vectors, s), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
+    common.release(spokes, vectors, links, more)
     classes = nodes.select("node", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = classes.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.sum("copies").alias("group_size"))
     classes = classes.join(groups, "label").select("node", "group_id", "group_size")
