@@ -18,14 +18,16 @@ def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network predicts to be toxic go."""
+    """Documents that the network predicts to be toxic go. Decided by id and text: of rows that share an id, or have none, only those
+    with a toxic text go; null and empty texts stay unless most labels are toxic; an empty table stays empty; all columns are kept."""
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), hashed=True)
     return _without(docs, write_shared(scored.where("predicted = 1").select("doc_id", "text_hash"), "toxic"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays, that of the smallest id, null the last; of texts that share it, the first
-    by a hash. Rows are told apart by id and text, as ids can be null or repeat."""
+    by a hash. Rows are told apart by id and text, as ids can be null or repeat; rows equal in both are one. Null and empty texts are
+    one group. Long texts are compared whole; an empty table stays empty; all columns are kept, whatever their names."""
     place = F.xxhash64(docs["doc_id"], docs["text"])
     found = near_dup.near_duplicates(docs.select(place.alias("doc_id"), "text"))
     rows = found.groupBy(F.col("doc_id").alias("place"), "group_id").agg(F.count(F.lit(1)).alias("n"))
@@ -37,13 +39,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Decided by id and text, as for toxic ones. Null and empty texts stay, items
+    without words match nothing; empty tables of documents or items change nothing; all columns are kept."""
     found = decontamination.contaminate(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, write_shared(found.where(F.size("hit_words") > 0).select("doc_id", "text_hash"), "contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the mixture's order: files by name and rows in a file follow it."""
+    """All documents, in the mixture's order: files by name and rows in a file follow it. A null source is a source of its own; rows equal
+    in id and text stand together; no row is dropped or repeated; an empty table stays empty; all columns are kept."""
     places = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("place").alias("__place")).agg(F.min(F.struct("slot", "rank")).alias("__turn"))
     joined = docs.join(places, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__place")))
     order = [F.col("__turn"), F.col("__id")]
@@ -51,7 +55,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in the order of docs' own files; of docs that were not read from files, in the order of ids."""
+    """Token files in the order of docs' own files; of docs that were not read from files, in the order of ids. Null and empty texts have
+    the end id only; repeated rows and ids are each written, null ids too; an empty table gives files without blocks; other columns
+    are not read."""
     try:
         placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:

@@ -453,7 +453,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, order_by: list[str] | None = None) -> DataFrame:
-    """write_tokens to a new folder in the shared folder, and what read_tokens finds there."""
+    """write_tokens to a new folder in the shared folder, and what read_tokens finds there; nulls, ties, repeated rows and empty tables
+    as write_tokens says."""
     spark = docs.sparkSession
     path = f"{common.shared_dir(spark)}/refloom/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer, end_id, order_by)
