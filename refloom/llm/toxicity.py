@@ -344,12 +344,12 @@ class Scorer:
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Whole labelled texts outside the held-out part, at most fit_toxic and fit_clean of them, first by a hash of the id."""
+    """Whole labelled texts outside the held-out part, at most fit_toxic and fit_clean ids of docs, first by a hash of the id."""
     y = labels.select(labels[id_col].alias("label_id"), labels[label_col].cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    learned = y.where(F.crc32(F.col("label_id").cast("string")) % 3 != 1)
+    texts = common.texts(docs, id_col, text_col)
+    learned = y.where(F.crc32(F.col("label_id").cast("string")) % 3 != 1).join(texts.select(F.col("doc_id").alias("label_id")), "label_id", "left_semi")
     ids = [learned.where(F.col("toxic") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(n) for k, n in ((1, s.fit_toxic), (0, s.fit_clean))]
     chosen = F.broadcast(ids[0].unionByName(ids[1]))  # no more rows than the two limits
-    texts = common.texts(docs, id_col, text_col)
     rows = texts.join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     return rows.dropDuplicates(["doc_id", "text"])
 
@@ -374,10 +374,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = DEFA
 
     The network is fitted in one task on a bounded sample, settings.fit_toxic and settings.fit_clean labelled documents,
     whose crc32(id as text) mod 3 is not 1; all other work is on every document. A text's score is the highest of its
-    overlapping windows of `window` words, which cover the whole of it. Only the text is an input of a score.
+    overlapping windows of `window` words, which cover the whole of it. Only the text is an input of a score. Words that are not among
+    the max_words commonest of the sample have one embedding; every word also has those of its character n-grams, hashed to
+    gram_buckets.
 
     Texts without words (null, empty) score the share of toxic texts learned from. Without labels of both classes that share,
-    or 0, is every score. Repeated rows and ids each get a row; a null id is not held out; of contradicting labels of an id
+    or 0, is every score. Equal texts, whatever their ids, have equal scores. Repeated rows and ids each get a row; a null id is not held out; of contradicting labels of an id
     the toxic one holds; null labels are not learned. An empty table gives an empty table. Other columns are not read.
     """
     net, prior = fitted(fit_rows(docs, labels, settings, id_col, text_col, label_col), settings)

@@ -253,6 +253,89 @@ def test_toxicity(spark, docs, none):
     assert {r["score"] for r in toxicity.score_toxicity(docs, labels.where("false")).collect()} == {0.0}
 
 
+SMALL_NET = toxicity.Settings(window=5, stride=3, hidden=3, word_dims=2, char_dims=2, attention=2, gram_buckets=32)
+
+
+def small_net(seed=0):
+    net = toxicity.Network(SMALL_NET, {b"bad": 1, b"good": 2, b"so": 3}, np.zeros(3), np.zeros(32))
+    rng = np.random.default_rng(seed)
+    net.p = {k: rng.normal(size=v.shape) * 0.7 for k, v in net.p.items()}
+    return net
+
+
+def test_toxicity_gradients():
+    net = small_net()
+    rng = np.random.default_rng(1)
+    words = [b"bad", b"good", b"so", b"other", b"x"]
+    at, lengths, target = rng.integers(0, 5, (4, 5)), np.array([5, 3, 1, 4]), np.array([1.0, 0, 1, 0])
+    grads, _ = net.gradients(net.inputs(words), at, lengths, target)
+    for name, v in net.p.items():
+        for k in rng.choice(v.size, min(v.size, 8), replace=False).tolist():
+            place, sides = np.unravel_index(k, v.shape), []
+            for step in (1e-5, -1e-5):
+                v[place] += step
+                sides.append(net.gradients(net.inputs(words), at, lengths, target)[1])
+                v[place] -= step
+            assert abs((sides[0] - sides[1]) / 2e-5 - grads[name][place]) < 1e-3, name
+
+
+def test_toxicity_scores_every_window_as_a_loop_over_words():
+    net, s = small_net(2), SMALL_NET
+    p, sigmoid = net.p, lambda x: 1 / (1 + np.exp(-x))
+    texts = [b"", b"bad", b"good so bad x y z good good bad other so", b"so so so so so", b"a b c d e f g", b"good " * 30 + b"bad"]
+
+    def run(xs, k):
+        state, out = np.zeros(s.hidden), []
+        for x in xs:
+            gates, own = x @ p["w"][k] + p["b"][k, 0], state @ p["u"][k]
+            z, r = sigmoid(gates[:3] + own[:3]), sigmoid(gates[3:6] + own[3:6])
+            state = (1 - z) * np.tanh(gates[6:] + r * (own[6:] + p["c"][k, 0])) + z * state
+            out.append(state)
+        return out
+
+    want = []
+    for t in texts:
+        words = t.split()
+        spans = toxicity.windows_of(len(words), s)
+        assert {i for a, n in spans for i in range(a, a + n)} == set(range(len(words)))
+        best = []
+        for a, n in spans:
+            xs = net.embed(*net.inputs(words[a : a + n]))
+            both = np.concatenate([run(xs, 0), run(xs[::-1], 1)[::-1]], axis=1)
+            weight = np.exp(np.tanh(both @ p["wa"] + p["ba"]) @ p["va"])
+            best.append(sigmoid(weight / weight.sum() @ both @ p["wo"] + p["bo"][0]))
+        want.append(max(best, default=0.25))
+    assert np.allclose(toxicity.Scorer(net, 0.25).score(texts), want, atol=1e-5)
+
+
+def test_toxicity_learns_labels_of_its_documents_only(spark):
+    docs = spark.createDataFrame([(i, "nasty " * 5 if i % 2 else "kind " * 5) for i in range(60)] + [(None, "nasty")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1) for i in range(1000, 4000)], "doc_id long, toxic int")
+    small = toxicity.Settings(fit_toxic=50, fit_clean=50)
+    rows = toxicity.score_toxicity(docs, labels, small).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    assert all(r["held_out"] == held(r["doc_id"]) and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+    assert [r for r in rows if (r["score"] > 0.5) != (r["doc_id"] is None or r["doc_id"] % 2 == 1)] == []
+    learned = toxicity.fit_rows(docs, labels, small, "doc_id", "text", "toxic").collect()
+    assert {r["doc_id"] for r in learned} == {i for i in range(60) if not held(i)}
+
+
+def test_license_base_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [w for p, _ in licenses.PHRASES for w in p.split()] + ["GNU", "License", "x", "ccby", "é", "mit-license", "4.0"]
+    texts = [(i, rng.choice([" ", "\n", ", "]).join(rng.choice(words, rng.integers(0, 40)).tolist())) for i in range(400)]
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    hits = 0
+    for i, t in texts:
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))
+        places = sorted((k, label) for p, label in licenses.PHRASES for k in range(len(found)) if found[k : k + len(p.split())] == p.split())
+        r = rows[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(found), len(places), places[0][0] if places else None, places[-1][0] if places else None)
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+        hits += bool(places)
+    assert hits > 50
+
+
 def test_licenses(docs, none):
     rows = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
     r = rows[12]
@@ -350,6 +433,21 @@ def test_quality(docs, none):
         assert quality.repeated_window_words(words) == len(hit)
 
 
+def test_quality_base_against_sql(spark):
+    con = duckdb.connect()
+    views(con, SF)
+    words = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+    sql = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {words} AS w FROM documents), lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 8], ' ') AS win FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
+        twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+            coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(w) AS base_failed FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)"""
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert compare(queries.op7_quality_bands(spark, SF).select(*columns), con, sql) == ""
+
+
 def test_quality_of_encoded_text():
     encoded = base64.b64encode(np.random.default_rng(2).bytes(20_000))
     words = np.random.default_rng(3).permutation([f"{a}{b}" for a in "ab bo cer di el fun gra".split() for b in "and is or ment ing tion us".split()] * 60)
@@ -379,6 +477,10 @@ def test_url_rules(spark):
         fits = [(h + p, v) for v, h, p in url_rules.HOST_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, "block" if any(re.search(p, (u or "").lower()) for p in url_rules.PATTERN_RULES) else "allow")
         assert (rows[k]["host"], rows[k]["path"], rows[k]["rule"], rows[k]["verdict"]) == (host, path, rule, verdict), u
+    odd = spark.createDataFrame([(1, urls[3], "x", 2), (1, urls[3], "y", 3), (None, urls[9], "z", 4)], "page_id long, url string, host string, rule int")
+    assert sorted((r["page_id"] or 0, r["host"], r["rule"] or "", r["verdict"]) for r in url_rules.judge_urls(odd).collect()) == [(0, "h", "", "block"), (1, "a.example.com", "example.com/en/7", "allow"), (1, "a.example.com", "example.com/en/7", "allow")]
+    with pytest.raises(ValueError):
+        url_rules.judge_urls(odd, max_rules=2)
     assert [r.expression for r in url_rules.default_rules() if not url_rules.literal_tokens(r.expression)] == [r"[.]exe(?:[?#]|$)"] and url_rules.judge_urls(pages.where("false")).count() == 0
 
 
@@ -456,6 +558,38 @@ def test_pipeline_drops_toxic_rows_only(spark, monkeypatch):
     assert kept == Counter(r for r in rows if "bad" not in (r[1] or "").split())
 
 
+def test_pipeline_stages_keep_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(None, None, None), (1, "", "a"), (2, "one two", "a"), (2, "one two", "a"), (3, LONG, "b"), (3, "other words", "b"), (None, "more words here", None)]
+    docs = spark.createDataFrame([(*r, "p", "l", "h") for r in rows], "doc_id long, text string, source string, place string, label string, hash string")
+    spark.createDataFrame([(1, "no such item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = [tuple(r)[:3] for r in stage(spark, docs, str(tmp_path)).collect()]
+        want = Counter(rows)
+        if name == "near duplicates":  # null and empty texts are one group, repeated rows another
+            want = Counter([(1, "", "a"), (2, "one two", "a"), (3, LONG, "b"), (3, "other words", "b"), (None, "more words here", None)])
+        assert Counter(got) == want, name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0 and stage(spark, docs, str(tmp_path)).columns == docs.columns
+    assert corpus_pipeline.write_token_files(spark, docs, str(tmp_path)).count() == len(rows)
+    assert corpus_pipeline.write_token_files(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_pipeline_mixture_is_the_order_of_files(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(k, f"text {k} " * (1 + k % 5), f"s{k % 4 and 1 + k % 2}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    order = [r["doc_id"] for r in mixed.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    turns = {r["doc_id"]: (r["slot"], r["rank"]) for r in mixing.mix(docs).collect()}
+    assert order == sorted(turns, key=turns.get)
+    tokens = corpus_pipeline.write_token_files(spark, mixed, "").orderBy("start").collect()
+    assert [r["doc_id"] for r in tokens] == order
+
+
 def test_pipeline_mixes_every_row(spark):
     import corpus_pipeline
 
