@@ -11,17 +11,10 @@ from refloom.llm.common import release, table, write_shared
 from refloom.llm.queries import tokenizer_path
 
 
-def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """docs less the ids and texts of decisions, null-safe; other texts of such an id stay."""
-    gone = decisions.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash")), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network predicts to be toxic go. Decided by id and text: of rows that share an id, or have none, only those
-    with a toxic text go; null and empty texts stay unless most labels are toxic; an empty table stays empty; all columns are kept."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), hashed=True)
-    return _without(docs, write_shared(scored.where("predicted = 1").select("doc_id", "text_hash"), "toxic"))
+    """Documents that the network predicts to be toxic go. Rows are judged one by one: of those that share an id, or have none, only the
+    ones with a toxic text go; null and empty texts stay unless most labels are toxic; an empty table stays empty; all columns are kept."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go. Decided by id and text, as for toxic ones. Null and empty texts stay, items
+    """Documents that hold a window of a benchmark item go. Rows are judged one by one. Null and empty texts stay, items
     without words match nothing; empty tables of documents or items change nothing; all columns are kept."""
-    found = decontamination.contaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, write_shared(found.where(F.size("hit_words") > 0).select("doc_id", "text_hash"), "contaminated"))
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

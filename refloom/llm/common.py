@@ -65,11 +65,32 @@ def release(*frames: DataFrame) -> None:
         remove(f.sparkSession, f.shared_path)
 
 
+def small_batches(docs: DataFrame) -> None:
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+
+
+def kept_rows(docs: DataFrame, text_col: str, keeps) -> DataFrame:
+    """Rows of docs, with all columns, that a decision on their texts keeps: keeps() gives, on an executor, a function from a list of
+    texts (bytes, nulls empty) to a list of booleans. Rows are judged where they are read, so nothing is joined or shuffled. The
+    text column is a string."""
+    small_batches(docs)
+
+    def run(batches):
+        clear_worker_caches()
+        decide = keeps()
+        for batch in batches:
+            keep = [k for _, values in byte_column(batch, text_col, 200) for k in decide(values)]
+            if any(keep):
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names; other columns, whatever their names, can't clash.
 
     Texts and vectors are large rows: the session sends at most ROWS_AT_ONCE of them to Python in one batch from here on."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+    small_batches(docs)
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 

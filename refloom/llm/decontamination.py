@@ -153,10 +153,29 @@ def contaminate(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "d
     return merged.withColumn("copy", times).drop("copy", "rows")
 
 
-def _pass(rows: DataFrame, block: list[tuple[int, bytes]], n: int) -> DataFrame:
+def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 500_000) -> DataFrame:
+    """The rows of docs, with all columns, that hold no window of an item, by the words, windows and blocks of contaminate. Rows are
+    judged one by one, whatever their ids."""
+    rows = docs
+    for block in _blocks(items, item_col, item_text_col, block_words):
+        index = _index(common.texts(docs, text_col, text_col), block, n)
+
+        def keeps(index=index):
+            return lambda texts: [not index.value.match(words_of(t))[0] for t in texts]
+
+        rows = common.kept_rows(rows, text_col, keeps)
+    return rows
+
+
+def _index(rows: DataFrame, block: list[tuple[int | None, bytes]], n: int):
+    """The broadcast index of a block of items, its words ordered by their documents among rows."""
     vocabulary = {w for _, text in block for w in words_of(text)}
     frequency = word_frequency(rows, vocabulary) if vocabulary else {}
-    index = rows.sparkSession.sparkContext.broadcast(WindowIndex(block, n, frequency))
+    return rows.sparkSession.sparkContext.broadcast(WindowIndex(block, n, frequency))
+
+
+def _pass(rows: DataFrame, block: list[tuple[int, bytes]], n: int) -> DataFrame:
+    index = _index(rows, block, n)
 
     def join(batches):
         common.clear_worker_caches()

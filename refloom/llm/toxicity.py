@@ -369,8 +369,8 @@ def fitted(rows: DataFrame, s: Settings) -> tuple[Network | None, float]:
     return (pickle.loads(bytes(made[0]["net"])), made[0]["prior"]) if made else (None, 0.0)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", hashed: bool = False) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (1 from the threshold up) for every document; text_hash too if hashed.
+def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """doc_id, held_out, score (0 to 1), predicted (1 from the threshold up) for every document.
 
     The network is fitted in one task on a bounded sample, settings.fit_toxic and settings.fit_clean labelled documents,
     whose crc32(id as text) mod 3 is not 1; all other work is on every document. A text's score is the highest of its
@@ -384,7 +384,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = DEFA
     """
     net, prior = fitted(fit_rows(docs, labels, settings, id_col, text_col, label_col), settings)
     shared = docs.sparkSession.sparkContext.broadcast((net, prior))
-    arrow = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), *([("text_hash", pa.int64())] if hashed else [])])
+    arrow = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
         common.clear_worker_caches()
@@ -395,9 +395,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = DEFA
             for start, texts in common.byte_column(batch, "text", 200):
                 score = scorer.score(texts) if scorer else [prior] * len(texts)
                 own = ids[start : start + len(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([held_out(i) for i in own], pa.bool_()), pa.array(score, pa.float64()), pa.array([int(x >= threshold) for x in score], pa.int32()), *([batch.column("text_hash").slice(start, len(texts))] if hashed else [])], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([held_out(i) for i in own], pa.bool_()), pa.array(score, pa.float64()), pa.array([int(x >= threshold) for x in score], pa.int32())], schema=arrow)
 
     texts = common.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    if hashed:
-        texts = texts.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return texts.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + ", text_hash long" * hashed)
+    return texts.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = DEFAULT, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of docs, with all columns, whose text scores below the threshold, by the network and rules of score_toxicity. Rows are
+    judged one by one, whatever their ids."""
+    net, prior = fitted(fit_rows(docs, labels, settings, id_col, text_col, label_col), settings)
+    shared = docs.sparkSession.sparkContext.broadcast((net, prior))
+
+    def keeps():
+        net, prior = shared.value
+        scorer = Scorer(net, prior) if net else None
+        return lambda texts: [x < threshold for x in (scorer.score(texts) if scorer else [prior] * len(texts))]
+
+    return common.kept_rows(docs, text_col, keeps)
