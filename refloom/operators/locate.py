@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions.similarity import cosine
-from refloom.functions.text import cue_hits, lexical_bonus
+from refloom.functions.text import CUES, cue_hits, lexical_bonus
 
 
 def line_scores(text: Column) -> Column:
@@ -15,6 +15,11 @@ def line_scores(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.least(cue_hits(x), F.lit(5)))
 
 
+def with_cues(docs: DataFrame) -> DataFrame:
+    """Documents that have a cue: most texts that have none are told by one search, before any line is scored."""
+    return docs.where(F.lower("text").rlike(CUES))
+
+
 def _places(xs: Column) -> Column:
     return F.sequence(F.lit(0), F.size(xs) - 1)
 
@@ -46,10 +51,10 @@ def gap_threshold(docs: DataFrame, gap: int = 2) -> DataFrame:
 def locate_sections(docs: DataFrame, slack: int = 1, gap: int = 2) -> DataFrame:
     """doc_id, n_lines, first_line, last_line, section: lines that reach gap_threshold, and those next to the best line as
     long as none is more than slack below it. Documents without a cue have no row."""
-    scored = docs.where("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("lines"), line_scores(F.col("text")).alias("scores"))
+    scored = with_cues(docs).select("doc_id", F.split("text", "\n").alias("lines"), line_scores(F.col("text")).alias("scores"))
     drop, after = _largest_drop(F.col("scores"))
     best = F.array_max("scores")
-    scored = scored.select("*", best.alias("best"), F.when(F.coalesce(drop > gap, F.lit(False)), after * 10).otherwise(best * 7).alias("threshold")).where("best > 0")
+    scored = scored.select("*", best.alias("best"), F.when(F.coalesce(drop > gap, F.lit(False)), after * 10).otherwise(best * 7).alias("threshold"))
     scored = scored.withColumn("at", F.array_position("scores", F.col("best")).cast("int") - 1)
     left, right = _grown(F.col("scores"), F.col("at"), F.col("best") - slack)
     scored = scored.select("*", left.alias("left"), right.alias("right"))
@@ -64,8 +69,8 @@ def locate_sections(docs: DataFrame, slack: int = 1, gap: int = 2) -> DataFrame:
 def adaptive_threshold(docs: DataFrame, least: int = 2) -> DataFrame:
     """doc_id, n_chosen, threshold: lines of at least 0.7 of the highest score; 0.5 if those are fewer than `least`, 0.85 if more than
     half of the lines; at most half of the lines. Documents whose best score is 0 have no row."""
-    scored = docs.where("text IS NOT NULL").select("doc_id", line_scores(F.col("text")).alias("scores"))
-    scored = scored.select("*", F.array_max("scores").alias("best")).where("best > 0")
+    scored = with_cues(docs).select("doc_id", line_scores(F.col("text")).alias("scores"))
+    scored = scored.select("*", F.array_max("scores").alias("best"))
     at = lambda share: F.size(F.filter("scores", lambda s: s * 100 >= F.col("best") * share)).cast("long")
     sums = scored.select("doc_id", F.size("scores").cast("long").alias("n"), at(70).alias("n70"), at(50).alias("n50"), at(85).alias("n85"))
     half = F.floor(F.col("n") / 2)
