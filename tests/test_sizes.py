@@ -46,3 +46,24 @@ def test_token_candidates_of_copies(spark):
     rows = spark.range(6000).select(F.col("id").alias("rec_id"), F.concat(F.lit("a common "), F.col("id") % 20).alias("title"))
     df = records.token_candidates(rows.withColumnRenamed("rec_id", "ref_id"), rows, 3)
     assert rows_made(df) < 100_000 and df.count() == 18_000
+
+
+def test_title_patterns_of_copies(spark):
+    kinds = [f"{w} thing number {n}" for w in ("Red", "large blue") for n in range(10)]
+    index = spark.range(6000).select(F.col("id").alias("rec_id"), F.element_at(F.lit(kinds), (F.col("id") % 20 + 1).cast("int")).alias("title"))
+    refs = index.where("rec_id % 3 = 0").withColumnRenamed("rec_id", "ref_id")
+    df = records.title_pattern_candidates(refs, index, k=5)
+    assert rows_made(df) < 60_000
+    got = defaultdict(list)
+    for r in df.collect():
+        got[r["ref_id"]].append(r["rec_id"])
+    # of Red only "thing.*number" is looked for, which all titles hold
+    assert got == {i: [0, 1, 2, 3, 4] if i % 20 < 10 else [10, 11, 12, 13, 14] for i in range(0, 6000, 3)}
+
+
+def test_title_patterns_keep_repeated_rows(spark):
+    index = spark.createDataFrame([(1, "a long title"), (1, "a long title"), (2, "A LONG TITLE"), (1, "other words")], "rec_id int, title string")
+    refs = spark.createDataFrame([(1, "a long title"), (1, "other words"), (2, "long title")], "ref_id int, title string")
+    rows = lambda k: sorted(map(tuple, records.title_pattern_candidates(refs, index, k=k).collect()))
+    assert rows(20) == [(1, 1)] * 3 + [(1, 2)] + [(2, 1)] * 2 + [(2, 2)]
+    assert rows(2) == [(1, 1)] * 2 + [(2, 1)] * 2
