@@ -355,8 +355,8 @@ SELECT ref_id, rec_id, pass, round(score, 6)::DOUBLE AS score, decision FROM o W
 def linking_passes(t):
     rows = t("part").select(F.col("p_partkey").alias("ref_id"), "p_brand", "p_name", "p_size")
     index = rows.withColumnRenamed("ref_id", "rec_id")
-    score = F.when(F.col("ref_id") != F.col("rec_id"), F.round(1 - F.abs(F.col("p_size") - F.col("rec_p_size")) / 50.0, 9))
-    return records.multi_pass(rows, index, [["p_brand", "p_name"], ["p_name"]], score, 0.9, 0.5, 0.02).withColumn("score", F.round("score", 6))
+    score = F.round(1 - F.abs(F.col("p_size") - F.col("rec_p_size")) / 50.0, 9)
+    return records.multi_pass(rows, index, [["p_brand", "p_name"], ["p_name"]], score, 0.9, 0.5, 0.02, of=["p_size"], apart=True).withColumn("score", F.round("score", 6))
 
 
 # Jobs

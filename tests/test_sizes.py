@@ -6,6 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from refloom.operators import records
+from refloom.plans import flow_queries
 
 
 def rows_made(df) -> int:
@@ -67,3 +68,38 @@ def test_title_patterns_keep_repeated_rows(spark):
     rows = lambda k: sorted(map(tuple, records.title_pattern_candidates(refs, index, k=k).collect()))
     assert rows(20) == [(1, 1)] * 3 + [(1, 2)] + [(2, 1)] * 2 + [(2, 2)]
     assert rows(2) == [(1, 1)] * 2 + [(2, 1)] * 2
+
+
+def test_passes_against_all_pairs(spark):
+    rng = random.Random(2)
+    index = [(i, rng.choice("ab"), rng.choice(["x", "y", "z", None]), rng.choice([1, 2, 5, 9, None])) for i in range(60)]
+    index += [index[3], (4, "a", "x", 5), (4, "a", "x", 5), index[9], index[9]]
+    refs = [*index[:40], (200, "c", "x", 1), (201, "a", None, 5), (9, "b", "y", 2)]
+    frame = lambda rows, i: spark.createDataFrame(rows, f"{i} int, a string, b string, n int")
+    for apart in (False, True):
+        want, left = {}, refs
+        for number, keys in enumerate([(1, 2), (2,)], 1):
+            met = defaultdict(list)
+            for r in left:
+                met[r[0]] += [(abs(r[3] - x[3]) / 8, x[0]) for x in index if all(r[k] == x[k] is not None for k in keys) and None not in (r[3], x[3]) and not (apart and r[0] == x[0])]
+            taken = set()
+            for i, pairs in met.items():
+                if pairs:
+                    pairs.sort()
+                    clear = len(pairs) == 1 or pairs[1][0] - pairs[0][0] >= 0.125
+                    said = "accept" if pairs[0][0] <= 0.125 and clear else "review" if pairs[0][0] <= 0.5 else "none"
+                    taken |= {i} if said == "accept" else set()
+                    want[i] = min(want.get(i, (9,)), (["accept", "review", "none"].index(said), number, pairs[0][1], said))
+            left = [r for r in left if r[0] not in taken]
+        score = 1 - F.abs(F.col("n") - F.col("rec_n")) / 8
+        for of in (["n"], None):
+            got = records.multi_pass(frame(refs, "ref_id"), frame(index, "rec_id"), [["a", "b"], ["b"]], score, 0.875, 0.5, 0.125, of, apart)
+            assert {r["ref_id"]: (r["pass"], r["rec_id"], r["decision"]) for r in got.collect()} == {i: w[1:] for i, w in want.items()}
+
+
+def test_passes_of_copies(spark):
+    part = spark.range(6000).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.concat(F.lit("n"), F.col("id") % 2).alias("p_name"), (F.col("id") % 5).cast("int").alias("p_size"))
+    df = flow_queries.linking_passes(lambda name: part)
+    assert rows_made(df) < 60_000
+    # ids go round by ten: the first record of the same kind, and for that record the second
+    assert sorted((r["ref_id"], r["rec_id"], r["pass"], r["decision"]) for r in df.collect()) == [(i, i % 10 if i >= 10 else i + 10, 1, "review") for i in range(6000)]
