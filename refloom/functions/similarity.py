@@ -56,11 +56,16 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision, norms at least 1e-12, within [-1, 1]."""
+def norm(v: Column) -> Column:
+    """In double precision, at least 1e-12."""
+    return F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.lit(1e-12))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """In double precision, norms at least 1e-12, within [-1, 1]. Norms that are known need not be worked out again."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.lit(1e-12))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (norm(a) * norm(b))))
+    norms = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / norms))
 
 
 def token_overlap(query: Column, title: Column) -> Column:

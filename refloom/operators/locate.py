@@ -3,10 +3,12 @@ chunks, so that nothing but the document's own row is read and no text is shuffl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.functions.similarity import cosine
+from refloom.functions.similarity import cosine, norm
 from refloom.functions.text import CUES, cue_hits, lexical_bonus
 
 
@@ -24,6 +26,11 @@ def _places(xs: Column) -> Column:
     return F.sequence(F.lit(0), F.size(xs) - 1)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, not for each element that body looks at."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _largest_drop(scores: Column) -> tuple[Column, Column]:
     """(the largest drop between neighbours of the scores in descending order, the score after the first drop of that size)."""
     ranked = F.sort_array(scores, asc=False)
@@ -106,9 +113,15 @@ def max_cosine(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vect
     n = queries.limit(MOST_QUERIES + 1).count()
     if n > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} query vectors")
-    gathered = queries.agg(F.collect_list(query).alias("__queries"))
+    gathered = queries.where(F.col(query).isNotNull()).agg(F.collect_list(F.struct(F.col(query).alias("q"), norm(F.col(query)).alias("norm"))).alias("__queries"))
     each = vectors.crossJoin(F.broadcast(gathered))  # one row
-    return each.select(key, F.array_max(F.transform("__queries", lambda q: cosine(F.col(vector), q))).alias("score"))
+    highest = _bound(norm(F.col(vector)), lambda n: F.array_max(F.transform("__queries", lambda x: cosine(F.col(vector), x["q"], n, x["norm"]))))
+    return each.select(key, highest.alias("score"))
+
+
+def _by_score(scores: Column, places: Column) -> Column:
+    """Places by descending score, the first of equal ones."""
+    return F.transform(F.array_sort(F.transform(places, lambda i: F.struct((-F.get(scores, i)).alias("s"), i.alias("i")))), lambda x: x["i"])
 
 
 def chosen_chunks(scores: Column, gap: float = 0.1, tolerance: float = 0.03, greedy: bool = True) -> Column:
@@ -116,24 +129,29 @@ def chosen_chunks(scores: Column, gap: float = 0.1, tolerance: float = 0.03, gre
     that gives none, or more than half of all: those of at least 0.7 of the highest score, 0.5 of it if there is none, 0.85 if they
     are too many; at most half of all, the first by score and place. greedy: and those next to the best while no score is more than
     tolerance below it."""
-    half = F.floor(F.size(scores) / 2).cast("int")
-    drop, after = _largest_drop(scores)
-    from_ = lambda least: F.filter(_places(scores), lambda i: F.get(scores, i) >= least)
-    best = F.array_max(scores)
-    by_gap = F.when(F.coalesce(drop > gap, F.lit(False)), from_(after)).otherwise(F.array().cast("array<int>"))
-    by_share = F.when(F.size(from_(best * 0.7)) < 1, from_(best * 0.5)).when(F.size(from_(best * 0.7)) > half, from_(best * 0.85)).otherwise(from_(best * 0.7))
-    found = F.when((F.size(by_gap) > 0) & (F.size(by_gap) <= half), by_gap).otherwise(by_share)
-    by_score = F.transform(F.array_sort(F.transform(_places(scores), lambda i: F.struct((-F.get(scores, i)).alias("s"), i.alias("i")))), lambda x: x["i"])
-    found = F.when(F.size(found) > half, F.slice(by_score, F.lit(1), half)).otherwise(found)
-    if not greedy:
-        return F.array_sort(found)
-    top = F.transform(F.slice(F.array_sort(F.transform(found, lambda i: F.struct((-F.get(scores, i)).alias("s"), i.alias("i")))), 1, 1), lambda x: x["i"])
-
-    def around(i: Column) -> Column:
-        left, right = _grown(scores, i, F.get(scores, i) - tolerance)
-        return F.sequence(left + 1, right - 1)
-
-    return F.array_sort(F.array_union(found, F.flatten(F.transform(top, around))))
+
+    def chosen(x: Column) -> Column:
+        scores, half, best = x["scores"], F.floor(F.size(x["scores"]) / 2).cast("int"), x["best"]
+        from_ = lambda least: F.filter(_places(scores), lambda i: F.get(scores, i) >= least)
+        by_gap = F.when(F.coalesce(x["drop"] > gap, F.lit(False)), from_(x["after"])).otherwise(F.array().cast("array<int>"))
+        share = lambda at: F.when(F.size(at) < 1, from_(best * 0.5)).when(F.size(at) > half, from_(best * 0.85)).otherwise(at)
+        by_share = _bound(from_(best * 0.7), share)
+        found = _bound(by_gap, lambda at: F.when((F.size(at) > 0) & (F.size(at) <= half), at).otherwise(by_share))
+        return _bound(found, lambda at: F.when(F.size(at) > half, F.slice(_by_score(scores, _places(scores)), F.lit(1), half)).otherwise(at))
+
+    def grown(scores: Column, found: Column) -> Column:
+        def around(i: Column) -> Column:
+            return _bound(F.get(scores, i) - tolerance, lambda least: _bound(F.struct(*(c.alias(n) for c, n in zip(_grown(scores, i, least), ("left", "right"), strict=True))), lambda x: F.sequence(x["left"] + 1, x["right"] - 1)))
+
+        top = F.slice(_by_score(scores, found), 1, 1)
+        return F.array_sort(F.array_union(found, F.flatten(F.transform(top, around))))
+
+    def taken(scores: Column) -> Column:
+        drop, after = _largest_drop(scores)
+        found = _bound(F.struct(scores.alias("scores"), F.array_max(scores).alias("best"), drop.alias("drop"), after.alias("after")), chosen)
+        return _bound(found, lambda at: grown(scores, at)) if greedy else F.array_sort(found)
+
+    return _bound(scores, taken)
 
 
 def semantic_sections(chunks: DataFrame, queries: DataFrame, gap: float = 0.1, tolerance: float = 0.03, greedy: bool = True) -> DataFrame:
@@ -147,6 +165,6 @@ def semantic_sections(chunks: DataFrame, queries: DataFrame, gap: float = 0.1, t
     full = F.transform("c", lambda c: F.coalesce(c["similarity"], F.lit(0.0)) + c["bonus"])
     rows = rows.select("doc_id", "c", F.exists("c", lambda c: c["lacks"]).alias("lacks"), full.alias("scores"), F.transform("c", lambda c: c["bonus"]).alias("bonuses"))
     most = F.array_max("bonuses")
-    lexical = F.when(most > 0, F.filter(_places(F.col("bonuses")), lambda i: F.get("bonuses", i) >= most * 0.5)).otherwise(F.array().cast("array<int>"))
+    lexical = F.when(most > 0, _bound(most * 0.5, lambda least: F.filter(_places(F.col("bonuses")), lambda i: F.get("bonuses", i) >= least))).otherwise(F.array().cast("array<int>"))
     picked = rows.select("doc_id", "c", F.when(F.col("lacks"), lexical).otherwise(chosen_chunks(F.col("scores"), gap, tolerance, greedy)).alias("p"))
     return picked.select("doc_id", F.transform("p", lambda i: F.get("c", i)["chunk"]).alias("chunks"), F.array_join(F.transform("p", lambda i: F.get("c", i)["text"]), "\n\n").alias("section"))

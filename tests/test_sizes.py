@@ -1,11 +1,12 @@
 """Operators on pairs over many equal rows: results against plain Python, and how many rows their joins make."""
 
 import random
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from refloom.operators import records
+from refloom.operators import locate, records
 from refloom.plans import flow_queries
 
 
@@ -103,3 +104,15 @@ def test_passes_of_copies(spark):
     assert rows_made(df) < 60_000
     # ids go round by ten: the first record of the same kind, and for that record the second
     assert sorted((r["ref_id"], r["rec_id"], r["pass"], r["decision"]) for r in df.collect()) == [(i, i % 10 if i >= 10 else i + 10, 1, "review") for i in range(6000)]
+
+
+def test_chunks_of_a_long_document(spark):
+    # the largest drop, the highest score and its shares are worked out once a document, not once a chunk
+    n, rng = 30_000, random.Random(3)
+    scores = [round(rng.random() * 0.4, 4) for _ in range(n)]
+    after = max(scores)
+    scores[700:705] = [0.95, 0.96, 0.94, 0.93, 0.95]
+    df = spark.createDataFrame([(scores,)], "s array<double>").select(locate.chosen_chunks(F.col("s")).alias("p"))
+    began = time.time()
+    assert list(df.collect()[0]["p"]) == [i for i, s in enumerate(scores) if s >= after]
+    assert time.time() - began < 30
