@@ -40,14 +40,15 @@ class Settings:
     #: blocks drawn for the start, pass after pass over those pieces, but no more passes than this
     fit_blocks: int = 320_000
     fit_passes: int = 40
-    #: then every training text is learned from, in a pass over one of so many of its blocks (1: all); groups of about
+    #: then every training text is learned from, in a pass over all of its blocks (more than 1: one of so many); groups of about
     #: group_blocks of them are learned one after the other, apart from other groups
-    every: int = 16
-    group_blocks: int = 50_000
+    every: int = 1
+    group_blocks: int = 200_000
     batch: int = 128
     rate: float = 0.006
-    #: the rate of that pass
+    #: the rate of that pass, and the steps that a group takes, if it has `batch` blocks for each
     later_rate: float = 0.003
+    later_steps: int = 400
     #: what the distribution counted over all training texts has in the mixture, the kinds of symbols it tells apart, and
     #: the weight of the shorter context in it
     counted: float = 0.2
@@ -308,12 +309,13 @@ def fit(blocks: Blocks, symbols: Symbols, pairs: np.ndarray, s: Settings = DEFAU
     return model
 
 
-def fit_further(model: Model, blocks: Blocks, s: Settings = DEFAULT) -> None:
-    """One pass over the blocks, in an order drawn by the seed."""
+def fit_further(model: Model, blocks: Blocks, s: Settings = DEFAULT, chosen: np.ndarray | None = None) -> None:
+    """One pass over the blocks, or the chosen ones, in an order drawn by the seed."""
     descent = Descent(model)
-    order = np.random.default_rng(s.seed).permutation(len(blocks.target))
-    for start in range(0, len(order), s.batch):
-        descent.learn(blocks, order[start : start + s.batch], s.later_rate * min(1.0, (descent.step + 1) / 20) * (1 - start / len(order)))
+    order = np.random.default_rng(s.seed).permutation(len(blocks.target) if chosen is None else chosen)
+    batch = max(s.batch, -(-len(order) // s.later_steps))
+    for start in range(0, len(order), batch):
+        descent.learn(blocks, order[start : start + batch], s.later_rate * min(1.0, (descent.step + 1) / 20) * (1 - start / len(order)))
 
 
 class Counted:
@@ -486,15 +488,12 @@ def context_counts(tokens: DataFrame, symbols: Symbols, model: Model, dtype: str
     return Counted(table.column("cell").to_numpy(), table.column("n").to_numpy(), kind_of, symbols, s)
 
 
-def learnable(tokens: DataFrame, symbols: Symbols, dtype: str, s: Settings, n_ids: int) -> tuple[DataFrame, int]:
-    """(part, place, start, blocks: packed blocks of all tokens; parts). Of each text every `every`-th block, from a place that its
-    hash decides, under the number of its group; and, with start true, whole pieces of texts drawn by a hash, about
-    start_pieces of them in all."""
-    n_blocks = n_ids / s.block
-    groups = max(1, round(n_blocks / s.every / s.group_blocks))
-    chance = min(1.0, 1.2 * s.start_pieces / max(1.0, n_blocks / s.piece))
+def start_blocks(tokens: DataFrame, symbols: Symbols, dtype: str, s: Settings, n_ids: int) -> Blocks:
+    """On the driver: whole pieces of texts drawn by a hash, at most start_pieces of at most `piece` blocks. They only decide where
+    the pass over all texts starts."""
+    chance = min(1.0, 1.2 * s.start_pieces / max(1.0, n_ids / s.block / s.piece))
     shared = tokens.sparkSession.sparkContext.broadcast(symbols)
-    arrow = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("start", pa.bool_()), ("blocks", pa.binary())])
+    arrow = pa.schema([("place", pa.int64()), ("blocks", pa.binary())])
     mixed = np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches):
@@ -502,68 +501,65 @@ def learnable(tokens: DataFrame, symbols: Symbols, dtype: str, s: Settings, n_id
         for batch in batches:
             for start, values in common.byte_column(batch, "ids", 200):
                 place = batch.column("place").slice(start, len(values)).to_numpy().view(np.uint64)
-                blocks = Blocks([symbols.of[np.frombuffer(v, dtype)[:-1]] for v in values], symbols.end, s.block)
-                own = place[blocks.owner]
-                turn = ((own >> np.uint64(20)) % np.uint64(s.every)).astype(np.int64)
-                piece = (blocks.number // s.piece).astype(np.uint64)
-                draw = (own ^ (piece + np.uint64(1)) * mixed) * mixed >> np.uint64(11)
-                for first, chosen, key in ((False, np.flatnonzero(blocks.number % s.every == turn), blocks.owner), (True, np.flatnonzero(draw < chance * (1 << 53)), blocks.owner * (1 << 32) + piece.astype(np.int64))):
-                    if not len(chosen):
-                        continue
-                    cuts = np.flatnonzero(np.diff(key[chosen])) + 1
-                    heads = chosen[np.concatenate([[0], cuts])]
-                    data = [x.tobytes() for x in np.split(blocks.packed(chosen), cuts)]
-                    part = (own[heads] % np.uint64(groups)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(draw[heads].astype(np.int64)), pa.array([first] * len(heads)), pa.array(data, pa.binary())], schema=arrow)
-
-    rows = tokens.select(F.xxhash64("doc_id", "ids").alias("place"), "ids").mapInArrow(run, "part int, place long, start boolean, blocks binary")
-    return common.write_shared(rows, "lm-blocks"), groups
-
-
-def start_blocks(chosen: DataFrame, s: Settings) -> Blocks:
-    """On the driver: at most start_pieces pieces of at most `piece` blocks."""
-    rows = chosen.where("start").select("place", "blocks").orderBy("place", F.xxhash64("blocks")).limit(s.start_pieces).collect()
+                texts = [symbols.of[np.frombuffer(v, dtype)[:-1]] for v in values]
+                pieces = np.array([-(-(len(t) + 1) // (s.block * s.piece)) for t in texts])
+                owner = np.repeat(np.arange(len(texts)), pieces)
+                number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                draw = (place[owner] ^ (number.astype(np.uint64) + np.uint64(1)) * mixed) * mixed >> np.uint64(11)
+                for at in np.flatnonzero(draw < chance * (1 << 53)):
+                    blocks = Blocks([texts[owner[at]]], symbols.end, s.block)
+                    data = blocks.packed(np.flatnonzero(blocks.number // s.piece == number[at])).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([int(draw[at])]), pa.array([data], pa.binary())], schema=arrow)
+
+    drawn = tokens.select(F.xxhash64("doc_id", "ids").alias("place"), "ids").mapInArrow(run, "place long, blocks binary")
+    rows = drawn.orderBy("place", F.xxhash64("blocks")).limit(s.start_pieces).collect() if s.start_pieces else []
     return Blocks.unpacked(b"".join(bytes(r["blocks"]) for r in rows), s.block)
 
 
-def fit_all(chosen: DataFrame, groups: int, model: Model, s: Settings) -> Model:
-    """The model after a pass over the blocks of all training texts. Each group goes through its blocks from the model's weights
-    on; the weights they end with are averaged, by their blocks."""
-    shared = chosen.sparkSession.sparkContext.broadcast(model)
+def fit_all(tokens: DataFrame, symbols: Symbols, dtype: str, n_ids: int, model: Model, s: Settings) -> Model:
+    """The model after a pass over the blocks of all training texts. Texts are dealt by a hash into groups; each group goes through its
+    blocks from the model's weights on; the weights they end with are averaged, by their blocks."""
+    groups = max(1, round(n_ids / s.block / s.every / s.group_blocks))
+    shared = tokens.sparkSession.sparkContext.broadcast((model, symbols))
     schema = "salt int, n long, weights binary"
     arrow = pa.schema([("salt", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
     names = list(model.p)
 
-    def learned(part: int, data: list[bytes]):
-        own = deepcopy(shared.value)
-        blocks = Blocks.unpacked(b"".join(data), s.block)
-        fit_further(own, blocks, s)
-        n = len(blocks.target)
+    def learned(part: int, data: list[bytes], place: list[int]):
+        model, symbols = shared.value
+        own = deepcopy(model)
+        blocks = Blocks([symbols.of[np.frombuffer(v, dtype)[:-1]] for v in data], symbols.end, s.block)
+        turn = (np.array(place, np.int64).view(np.uint64) >> np.uint64(20)) % np.uint64(s.every)
+        chosen = np.flatnonzero(blocks.number % s.every == turn.astype(np.int64)[blocks.owner])
+        fit_further(own, blocks, s, chosen)
+        n = len(chosen)
         weights = np.concatenate([own.p[k].reshape(-1) for k in names]).astype("<f8") * n
         return pa.RecordBatch.from_arrays([pa.array([part // 64], pa.int32()), pa.array([n], pa.int64()), pa.array([weights.tobytes()], pa.binary())], schema=arrow)
 
     def run(batches):
         common.clear_worker_caches()
-        part, data = None, []
+        part, data, places = None, [], []
         for batch in batches:
-            for this, blocks in zip(batch.column("part").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
+            for this, place, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "place", "ids")), strict=True):
                 if this != part and data:
-                    yield learned(part, data)
-                    data = []
+                    yield learned(part, data, places)
+                    data, places = [], []
                 part = this
-                data.append(blocks)
+                data.append(ids)
+                places.append(place)
         if data:
-            yield learned(part, data)
+            yield learned(part, data, places)
 
     def add(part: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(w, "<f8") for w in part.column("weights").to_pylist())
         n = sum(part.column("n").to_pylist())
         return pa.table([pa.array([part.column("salt")[0].as_py() // 64], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], schema=arrow)
 
-    dealt = chosen.where("not start").repartitionById(groups, "part").sortWithinPartitions("part", "place", F.xxhash64("blocks")).select("part", "blocks")
+    place = F.xxhash64("doc_id", "ids")
+    dealt = tokens.select(F.pmod(place, F.lit(groups)).cast("int").alias("part"), place.alias("place"), "ids").repartitionById(groups, "part").sortWithinPartitions("part", "place")
     ended = common.write_shared(dealt.mapInArrow(run, schema), "lm-weights")
     added = ended.groupBy("salt").applyInArrow(add, schema).withColumn("salt", F.col("salt") * 0).groupBy("salt").applyInArrow(add, schema).collect()
-    if added:
+    if added and added[0]["n"]:
         mean = np.frombuffer(bytes(added[0]["weights"]), "<f8") / added[0]["n"]
         for k, part in zip(names, np.split(mean, np.cumsum([model.p[k].size for k in names])[:-1]), strict=True):
             model.p[k] = part.reshape(model.p[k].shape).astype(F32)
@@ -648,7 +644,7 @@ def score_language(docs: DataFrame, tokenizer: str, settings: Settings = DEFAULT
     window that holds at least `block` tokens before it or all there are; windows overlap by half. Every training text is
     learned from whole by the counts: ids, symbol pairs (which make the classes) and the counted distribution. The weights of
     attention start on the driver from at most start_pieces pieces of training texts, and then learn on the executors from every
-    `every`-th block of every training text, by groups whose weights are averaged.
+    block of every training text, by groups whose weights are averaged.
 
     Null and empty texts have the end only. Repeated rows and ids each get a row; a null id is a training document. Long texts
     are scored whole. An empty table gives an empty table; without training texts the model keeps its first weights. Other
@@ -668,11 +664,9 @@ def score_language(docs: DataFrame, tokenizer: str, settings: Settings = DEFAULT
     seen = id_counts(tokens, dtype, size)
     symbols = Symbols(seen, s)
     training = tokens.where(F.col("doc_id").isNull() | (F.crc32(F.col("doc_id").cast("string")) % 5 != 1))
-    chosen, groups = learnable(training, symbols, dtype, s, int(seen.sum()))
-    model = fit(start_blocks(chosen, s), symbols, pair_counts(training, symbols, dtype, s), s)
+    model = fit(start_blocks(training, symbols, dtype, s, int(seen.sum())), symbols, pair_counts(training, symbols, dtype, s), s)
     counted = context_counts(training, symbols, model, dtype, s)
-    model = fit_all(chosen, groups, model, s)
-    common.release(chosen)
+    model = fit_all(training, symbols, dtype, int(seen.sum()), model, s)
     shared = spark.sparkContext.broadcast((model, symbols, counted))
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("n_ids", pa.int64())])
 

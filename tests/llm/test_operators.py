@@ -4,11 +4,13 @@ import base64
 import re
 import zlib
 from collections import Counter, defaultdict
+from copy import deepcopy
 
 import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from refloom.llm import attention_lm, decontamination, licenses, line_dedup, mixing, near_dup, quality, queries, rans, toxicity, url_rules
 from verify import compare, views
@@ -598,3 +600,15 @@ def test_pipeline_mixes_every_row(spark):
     rows = list({r[:2]: r for r in rows}.values())
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert Counter(map(tuple, corpus_pipeline.mix_sources(spark, docs, "").collect())) == Counter(rows)
+
+
+def test_language_model_learns_from_every_block(spark):
+    symbols, model = tiny_model()
+    rng = np.random.default_rng(8)
+    texts = [(i, np.append(rng.integers(0, 40, n), 40).astype("<u2").tobytes()) for i, n in enumerate((3, 300, 70, 0))]
+    tokens = spark.createDataFrame(texts, "doc_id long, ids binary")
+    ordered = [np.frombuffer(r["ids"], "<u2")[:-1] for r in tokens.orderBy(F.xxhash64("doc_id", "ids")).collect()]
+    want = deepcopy(model)
+    attention_lm.fit_further(want, attention_lm.Blocks([symbols.of[t] for t in ordered], symbols.end, TINY.block), TINY)
+    got = attention_lm.fit_all(tokens, symbols, "<u2", 377, deepcopy(model), TINY)
+    assert all(np.allclose(got.p[k], want.p[k], atol=1e-6) and not np.allclose(got.p[k], model.p[k], atol=1e-6) for k in ("q", "wc", "bm"))
