@@ -129,110 +129,161 @@ class Model:
         self.distance = np.clip(b + i - j, 0, 2 * b - 1)
         self.later = np.where(j > b + i, F32(-1e9), F32(0))
 
-    def hidden(self, window: np.ndarray, valid: np.ndarray):
-        """window: symbols (blocks x 2 block), the second half the queries; valid: keys that exist."""
-        p, b = self.p, self.s.block
-        now = window[:, b:]
-        q, k, v = p["q"].take(now, axis=0), p["k"].take(window, axis=0), p["v"].take(window, axis=0)
-        score = q @ np.swapaxes(k, 1, 2)
-        score += p["far"][self.distance] + self.later
-        if not valid.all():
-            score += np.where(valid, F32(0), F32(-1e9))[:, None, :]
-        np.minimum(score, F32(60), out=score)
-        np.exp(score, out=score)
-        score /= score @ np.ones((2 * b, 1), score.dtype) + F32(1e-30)
-        got = score @ v
-        h = got @ p["out"]
-        h += p["now"].take(now, axis=0)
-        h += p["before"].take(window[:, b - 1 : -1], axis=0)
-        np.tanh(h, out=h)
-        return h, (q, k, v, score, got)
+    def attention(self, window: np.ndarray, valid: np.ndarray):
+        """What attention returns for every query, a row each, and what its gradient needs. window: symbols (blocks x 2 block), the
+        second half the queries; valid: keys that exist."""
+        p, b, n = self.p, self.s.block, self.s.keys
+        q, k, v = p["q"].take(window[:, b:], axis=0), p["k"].take(window, axis=0), p["v"].take(window, axis=0)
+        weight = q @ np.swapaxes(k, 1, 2)
+        weight += (p["far"][self.distance] + self.later).astype(weight.dtype)
+        if _longest(p["q"]) * _longest(p["k"]) + np.abs(p["far"]).max() > 60:
+            np.minimum(weight, F32(60), out=weight)
+        np.exp(weight, out=weight)
+        # only whole first halves are missing: in the first blocks of texts
+        weight[~valid[:, 0], :, :b] = 0
+        # weights stay undivided; each row's sum, once for each column of v
+        total = weight.reshape(-1, 2 * b) @ np.ones((2 * b, n), weight.dtype)
+        total += F32(1e-30)
+        got = (weight @ v).reshape(-1, n)
+        got /= total
+        return got, (q, k, v, weight, total)
+
+    def hidden(self, got: np.ndarray, now: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Rows of hidden states."""
+        h = got @ self.p["out"]
+        h += self.p["now"].take(now, axis=0)
+        h += self.p["before"].take(before, axis=0)
+        return np.tanh(h, out=h)
+
+    def by_class(self, target: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Places of the targets that exist, class by class, and where each class begins and the last one ends."""
+        c = np.where(real, self.class_of[target], self.s.classes).reshape(-1).astype(np.min_scalar_type(self.s.classes))
+        ends = np.cumsum(np.bincount(c, minlength=self.s.classes + 1)[:-1])
+        return np.argsort(c, kind="stable")[: ends[-1]], [0, *ends.tolist()]
+
+    def logits_of(self) -> np.ndarray:
+        """classes x (hidden + 1) x (classes + members): what a hidden state and a one give for all classes and the members of each."""
+        p, s = self.p, self.s
+        out = np.empty((s.classes, s.hidden + 1, s.classes + s.members), p["wc"].dtype)
+        out[:, :-1, : s.classes], out[:, -1, : s.classes] = p["wc"], p["bc"]
+        out[:, :-1, s.classes :], out[:, -1, s.classes :] = p["wm"], p["bm"]
+        return out
+
+    def exponentials(self, h: np.ndarray, bounds: list[int], weights: np.ndarray):
+        """Class by class, for hidden states in the order of by_class: (class, its rows, their hidden states with a column of ones, the
+        exponentials of the logits of all classes and then of the class's members, both sums of each row, which columns they add).
+        One class's numbers stay in a core's cache."""
+        s = self.s
+        x = np.ones((len(h), s.hidden + 1), h.dtype)
+        x[:, :-1] = h
+        # hidden states lie between -1 and 1; where the weights allow logits whose exponentials don't fit, they are shifted
+        large = np.abs(weights).sum(axis=1).max() > 80
+        parts = np.repeat(np.eye(2, dtype=h.dtype), (s.classes, s.members), axis=0)
+        room = np.empty((max(np.diff(bounds)), len(parts)), h.dtype)
+        for j, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            if lo < hi:
+                e = np.matmul(x[lo:hi], weights[j], out=room[: hi - lo])
+                if large:
+                    for part in (e[:, : s.classes], e[:, s.classes :]):
+                        part -= part.max(axis=1, keepdims=True)
+                np.exp(e, out=e)
+                yield j, slice(lo, hi), x[lo:hi], e, e @ parts, parts
+
+    def probability(self, h: np.ndarray, target: np.ndarray, bounds: list[int], weights: np.ndarray) -> np.ndarray:
+        """Of the targets, for hidden states in the order of by_class. weights: logits_of()."""
+        own = self.members_at(target, bounds)
+        out = np.empty(len(h), h.dtype)
+        for j, rows, _, e, sums, _ in self.exponentials(h, bounds, weights):
+            p = np.divide(e.reshape(-1).take(own[rows]), sums[:, 1], out=out[rows])
+            p *= e[:, j]
+            p /= sums[:, 0]
+        return out
+
+    def members_at(self, target: np.ndarray, bounds: list[int]) -> np.ndarray:
+        """The targets' places in the flat arrays of exponentials of their classes."""
+        row = np.arange(len(target)) - np.repeat(bounds[:-1], np.diff(bounds))
+        return row * (self.s.classes + self.s.members) + self.s.classes + self.member_of.take(target)
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logs for rows of hidden states."""
-        p, n = self.p, len(h)
-        c, m = self.class_of[target], self.member_of[target]
-        order = np.argsort(c.astype(np.uint8), kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(self.s.classes + 1))
-        x = np.ones((n, h.shape[1] + 1), F32)
-        x[:, :-1] = h.take(order, axis=0)
-        rows = np.arange(n)
-        logits = x @ np.concatenate([p["wc"], p["bc"][None]])
-        got = logits.reshape(-1).take(rows * self.s.classes + c[order]) - _log_sum(logits)
-        inside = np.empty((n, self.s.members), F32)
-        own = np.concatenate([p["wm"], p["bm"][:, None]], axis=1)
-        for k in range(self.s.classes):
-            if bounds[k] < bounds[k + 1]:
-                np.matmul(x[bounds[k] : bounds[k + 1]], own[k], out=inside[bounds[k] : bounds[k + 1]])
-        got += inside.reshape(-1).take(rows * self.s.members + m[order]) - _log_sum(inside)
-        out = np.empty(n, F32)
-        out[order] = got
+        """Natural logs for rows of hidden states in any order."""
+        order, bounds = self.by_class(target, np.ones(target.shape, bool))
+        out = np.empty(len(h), h.dtype)
+        with np.errstate(divide="ignore"):
+            out[order] = np.log(self.probability(h.take(order, axis=0), target.take(order), bounds, self.logits_of()))
         return out
 
-    def gradients(self, window: np.ndarray, valid: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[dict, float]:
+    def gradients(self, window: np.ndarray, valid: np.ndarray, target: np.ndarray, real: np.ndarray, with_loss: bool = True) -> tuple[dict, float]:
+        """Of the mean loss of the queries that exist, and that loss (0 unless asked for)."""
         p, b, s = self.p, self.s.block, self.s
-        hidden, (q, k, v, weight, got) = self.hidden(window, valid)
-        rows = np.flatnonzero(real.reshape(-1))
-        h, t = hidden.reshape(-1, s.hidden).take(rows, axis=0), target.reshape(-1)[rows]
-        n = len(rows)
-        c, m = self.class_of[t], self.member_of[t]
-        g = {}
-        logits = h @ p["wc"] + p["bc"]
-        lse = _log_sum(logits)
-        loss = -(logits[np.arange(n), c] - lse)
-        d = np.exp(logits - lse[:, None])
-        d[np.arange(n), c] -= 1
-        d /= n
-        g["wc"], g["bc"], dh = h.T @ d, d.sum(axis=0), d @ p["wc"].T
-        g["wm"], g["bm"] = np.zeros_like(p["wm"]), np.zeros_like(p["bm"])
-        for j in range(s.classes):
-            own = np.flatnonzero(c == j)
-            if not len(own):
-                continue
-            mine = h.take(own, axis=0)
-            x = mine @ p["wm"][j] + p["bm"][j]
-            lse = _log_sum(x)
-            loss[own] -= x[np.arange(len(own)), m[own]] - lse
-            d = np.exp(x - lse[:, None])
-            d[np.arange(len(own)), m[own]] -= 1
-            d /= n
-            g["wm"][j], g["bm"][j] = mine.T @ d, d.sum(axis=0)
-            dh[own] += d @ p["wm"][j].T
-        full = np.zeros((hidden.size // s.hidden, s.hidden), h.dtype)
-        full[rows] = dh * (1 - h * h)
-        full = full.reshape(hidden.shape)
-        flat = full.reshape(-1, s.hidden)
-        g["out"] = got.reshape(-1, s.keys).T @ flat
-        dgot = full @ p["out"].T
-        dweight = dgot @ np.swapaxes(v, 1, 2)
+        got, (q, k, v, weight, total) = self.attention(window, valid)
+        order, bounds = self.by_class(target, real)
+        n = len(order)
+        now, before = window[:, b:].reshape(-1).take(order), window[:, b - 1 : -1].reshape(-1).take(order)
+        mine = got.take(order, axis=0)
+        h = self.hidden(mine, now, before)
+        weights = self.logits_of()
+        back = np.ascontiguousarray(np.swapaxes(weights[:, :-1], 1, 2))
+        own = self.members_at(target.reshape(-1).take(order), bounds)
+        g, gw, loss = {}, np.zeros_like(weights), 0.0
+        dh = np.empty_like(h)
+        one = h.dtype.type(1 / n)
+        for j, rows, x, d, sums, parts in self.exponentials(h, bounds, weights):
+            at = own[rows]
+            if with_loss:
+                loss -= float(np.log(d[:, j] / sums[:, 0] * d.reshape(-1).take(at) / sums[:, 1]).sum()) / n
+            np.divide(one, sums, out=sums)
+            d *= sums @ parts.T
+            d[:, j] -= one
+            d.reshape(-1)[at] -= one
+            np.matmul(x.T, d, out=gw[j])
+            np.matmul(d, back[j], out=dh[rows])
+        gc, gm = gw[:, :, : s.classes].sum(axis=0), gw[:, :, s.classes :]
+        g["wc"], g["bc"], g["wm"], g["bm"] = gc[:-1], gc[-1], gm[:, :-1], gm[:, -1]
+        np.multiply(h, h, out=h)
+        np.subtract(1, h, out=h)
+        dh *= h
+        g["out"] = mine.T @ dh
+        # of the weighted sums of values before they are divided, and of what they are divided by
+        dgot = np.zeros_like(got)
+        dgot[order] = dh @ p["out"].T
+        dgot /= total
+        shared = (dgot * got) @ np.ones((s.keys, 1), got.dtype)
+        dgot = dgot.reshape(q.shape)
         dv = np.swapaxes(weight, 1, 2) @ dgot
-        dscore = weight * (dweight - (weight * dweight).sum(axis=2, keepdims=True))
+        dscore = dgot @ np.swapaxes(v, 1, 2)
+        dscore -= shared.reshape(len(window), b, 1)
+        dscore *= weight
         dq, dk = dscore @ k, np.swapaxes(dscore, 1, 2) @ q
-        g["far"] = np.bincount(self.distance.reshape(-1), weights=dscore.sum(axis=0).reshape(-1), minlength=2 * b).astype(F32)
-        for name, at, value in (("q", window[:, b:], dq), ("k", window, dk), ("v", window, dv), ("now", window[:, b:], full), ("before", window[:, b - 1 : -1], full)):
-            g[name] = _sums(p[name], at.reshape(-1), value.reshape(-1, value.shape[-1]))
-        return g, float(loss.mean())
-
-
-def _sums(like: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A table like the given one: each row the sum of the values whose place it is."""
-    order = np.argsort(at.astype(np.uint16) if len(like) <= 1 << 16 else at, kind="stable")
-    place = at[order]
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    out = np.zeros_like(like)
-    out[place[first]] = np.add.reduceat(values.take(order, axis=0), first, axis=0)
-    return out
-
-
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row; rows whose exponentials don't fit are shifted first."""
-    with np.errstate(over="ignore", divide="ignore"):
-        e = np.exp(x)
-        out = np.log(e @ np.ones(x.shape[1], x.dtype))
-    bad = np.flatnonzero(~np.isfinite(out))
-    if len(bad):
-        top = x[bad].max(axis=1)
-        out[bad] = np.log(np.exp(x[bad] - top[:, None]).sum(axis=1)) + top
+        g["far"] = np.bincount(self.distance.reshape(-1), weights=dscore.sum(axis=0).reshape(-1), minlength=2 * b).astype(got.dtype)
+        size = len(p["q"])
+        by, *runs = _runs(now, size)
+        g["now"] = _sums(dh, size, by, *runs)
+        g["q"] = _sums(dq.reshape(-1, s.keys), size, order.take(by), *runs)
+        g["before"] = _sums(dh, size, *_runs(before, size))
+        runs = _runs(window.reshape(-1), size)
+        g["k"], g["v"] = (_sums(x.reshape(-1, s.keys), size, *runs) for x in (dk, dv))
+        return g, loss
+
+
+def _longest(rows: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max()))
+
+
+def _runs(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by places, the places that occur, and where in that order each of them begins."""
+    counts = np.bincount(at, minlength=size)
+    seen = np.flatnonzero(counts)
+    return np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable"), seen, (np.cumsum(counts) - counts)[seen]
+
+
+def _sums(values: np.ndarray, size: int, order: np.ndarray, seen: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A table of `size` rows, each the sum of the values whose place it is, by _runs of the places."""
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    if len(seen):
+        rows = values.take(order, axis=0)
+        if rows.shape[1] % 2 == 0:  # two numbers are added at once as a complex one
+            rows = rows.view(np.result_type(rows.dtype, np.complex64))
+        out[seen] = np.add.reduceat(rows, first, axis=0).view(values.dtype)
     return out
 
 
@@ -283,16 +334,29 @@ class Descent:
 
     def __init__(self, model: Model):
         self.model, self.step = model, 0
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
+        # all weights in one row, of which the model's tables become views
+        self.flat = np.concatenate([v.reshape(-1) for v in model.p.values()])
+        ends = np.cumsum([v.size for v in model.p.values()])
+        model.p = {k: part.reshape(v.shape) for (k, v), part in zip(model.p.items(), np.split(self.flat, ends[:-1]), strict=True)}
+        self.m1, self.m2 = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def learn(self, blocks: Blocks, part: np.ndarray, rate: float) -> None:
         self.step += 1
-        g, _ = self.model.gradients(blocks.window[part], blocks.valid[part], blocks.target[part], blocks.real[part])
-        for k, v in self.model.p.items():
-            m1, m2 = self.moments[k]
-            m1 += 0.1 * (g[k] - m1)
-            m2 += 0.005 * (g[k] * g[k] - m2)
-            v -= (rate * (m1 / (1 - 0.9**self.step)) / (np.sqrt(m2 / (1 - 0.995**self.step)) + 1e-8)).astype(F32)
+        of, _ = self.model.gradients(blocks.window[part], blocks.valid[part], blocks.target[part], blocks.real[part], with_loss=False)
+        g = np.concatenate([of[k].reshape(-1) for k in self.model.p])
+        # m1 += 0.1 (g - m1), m2 += 0.005 (g g - m2), in place
+        self.m1 *= 0.9
+        self.m1 += 0.1 * g
+        np.multiply(g, g, out=g)
+        g *= 0.005
+        self.m2 *= 0.995
+        self.m2 += g
+        np.multiply(self.m2, 1 / (1 - 0.995**self.step), out=g)
+        np.sqrt(g, out=g)
+        g += 1e-8
+        np.divide(self.m1, g, out=g)
+        g *= rate / (1 - 0.9**self.step)
+        self.flat -= g
 
 
 def fit(blocks: Blocks, symbols: Symbols, pairs: np.ndarray, s: Settings = DEFAULT) -> Model:
@@ -349,9 +413,12 @@ class Counted:
 
     def probability(self, window: np.ndarray, target: np.ndarray, block: int) -> np.ndarray:
         """Of the targets of whole blocks."""
+        return self.of(window[:, block - 1 : -1], window[:, block:], target)
+
+    def of(self, before: np.ndarray, now: np.ndarray, target: np.ndarray) -> np.ndarray:
         size = len(self.share)
-        cell = (self.kind_of[window[:, block - 1 : -1]] * size + window[:, block:]) * size + target
-        return (self.table[cell].astype(np.uint32) << np.uint32(16)).view(F32)
+        cell = (self.kind_of.take(before) * size + now) * size + target
+        return (self.table.take(cell).astype(np.uint32) << np.uint32(16)).view(F32)
 
 
 def score_texts(model: Model, symbols: Symbols, counted: Counted, ids: list[np.ndarray]) -> list[float]:
@@ -359,16 +426,18 @@ def score_texts(model: Model, symbols: Symbols, counted: Counted, ids: list[np.n
     texts = [symbols.of[t[:-1]] for t in ids]
     out = np.array([symbols.inside[t[:-1]].sum() for t in ids])
     blocks = Blocks(texts, symbols.end, model.s.block)
-    share = F32(model.s.counted)
+    share, b = F32(model.s.counted), model.s.block
+    weights = model.logits_of()
     for start in range(0, len(blocks.owner), 4 * model.s.batch):
         part = slice(start, start + 4 * model.s.batch)
-        real = blocks.real[part]
-        h, _ = model.hidden(blocks.window[part], blocks.valid[part])
-        p = np.exp(model.log_probability(h[real], blocks.target[part][real]))
-        p += share * (counted.probability(blocks.window[part], blocks.target[part], model.s.block)[real] - p)
-        owners = np.repeat(blocks.owner[part], real.sum(axis=1))
-        first = owners[0]
-        sums = np.bincount(owners - first, weights=np.log10(np.maximum(p, F32(1e-30))))
+        window = blocks.window[part]
+        order, bounds = model.by_class(blocks.target[part], blocks.real[part])
+        now, before, target = (x.reshape(-1).take(order) for x in (window[:, b:], window[:, b - 1 : -1], blocks.target[part]))
+        got, _ = model.attention(window, blocks.valid[part])
+        p = model.probability(model.hidden(got.take(order, axis=0), now, before), target, bounds, weights)
+        p += share * (counted.of(before, now, target) - p)
+        first = blocks.owner[start]
+        sums = np.bincount(blocks.owner[part].take(order // b) - first, weights=np.log10(np.maximum(p, F32(1e-30))))
         out[first : first + len(sums)] += sums
     return out.tolist()
 
